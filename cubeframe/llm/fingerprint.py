@@ -71,7 +71,7 @@ def as_text(fp: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common shingles, from 0 to 1."""
-    ones = int("1" * CELLS, 16)
+    ones = int(("0" * (BITS // 4 - 1) + "1") * CELLS, 16)
 
     def differing(x: Column) -> Column:
         folded = x
