@@ -1,19 +1,41 @@
-"""The corpus pipeline: language ID, near-copies, repeated passages, benchmark passages, packing."""
+"""The corpus pipeline: language ID, near-copies, repeated passages, benchmark passages, packing.
+
+The near-copy stage takes five-word shingles and a likeness of 0.8 or more. Language ID rejects texts without a
+recognised language. Cut texts stay as documents, even where nothing is left of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeframe.llm import decontaminate
+from cubeframe.llm import decontaminate, langid, near_copies, packing, passages
 from cubeframe.llm.common import materialise
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the benchmark contaminates."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs, langid.learnt(docs))
+
+
+def near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_copies.keep_one(docs)
+
+
+def passage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("decontaminate", decontaminated)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("language", language), ("near-copies", near_copy), ("passages", passage), ("benchmark", benchmark), ("packing", pack)]
+#: Trained models, tokenizers and byte-wise passage removal are beyond SQL; the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -116,21 +116,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, idf, weights, temperature)
 
 
-def predict(documents: DataFrame, model: Model, *keep: Column) -> DataFrame:
-    """``keep`` columns, lang_pred, score: one row for each document."""
+def _predictor(documents: DataFrame, model: Model):
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats for each language
-    rows = documents.select(*keep, F.col("text").alias("_text"))
-    kept = rows.schema.fieldNames()[:-1]
 
-    def of(batches):
-        for pdf in batches:
-            got = [shared.value.predict(t) for t in pdf["_text"]]
-            out = pdf[kept].copy()
-            out["lang_pred"], out["score"] = [g[0] for g in got], [g[1] for g in got]
-            yield out
+    @F.pandas_udf("lang_pred string, score double")
+    def of(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score"])
+
+    return of("text")
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(of, f"{types}, lang_pred string, score double")
+
+def predict(documents: DataFrame, model: Model, *keep: Column) -> DataFrame:
+    """``keep`` columns, lang_pred, score: one row for each document."""
+    out = documents.select(*keep, _predictor(documents, model).alias("__p"))
+    return out.select(*out.columns[:-1], "__p.lang_pred", "__p.score")
 
 
 def held_out() -> Column:
@@ -143,14 +142,11 @@ def learnt(documents: DataFrame) -> Model:
 
 def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents, all columns, whose language is recognised with at least that score."""
-    names = documents.columns
-    out = predict(documents, model, *[F.col(c) for c in names])
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    found = documents.withColumn("__p", _predictor(documents, model))
+    return found.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= least)).drop("__p")
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # the id goes through as text: a null in it would make it a float in pandas
-    out = predict(docs, learnt(docs), F.col("doc_id").cast("string").alias("doc_id"), held_out().alias("held_out"))
-    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return predict(docs, learnt(docs), F.col("doc_id"), held_out().alias("held_out"))
