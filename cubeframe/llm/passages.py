@@ -268,19 +268,30 @@ def _marks(texts: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
             who, lo, hi = o[s], b[s], b[e] + MATCH
             by = np.argsort(src[who], kind="stable")
             for rows in np.split(by, np.flatnonzero(np.diff(src[who][by])) + 1):
-                out.append((int(src[who[rows[0]]]), _pack(doc[who[rows]], lo[rows], hi[rows]), None, None, None))
+                out.append((int(src[who[rows[0]]]), _pack(doc[who[rows]], lo[rows], hi[rows]), None))
+        # of a crowded trigger one document stands for each window here; it meets those of the other salted groups
         open_ = np.flatnonzero(~gone & hot[occ] & (lowest[place] == doc[occ]))
-        for i in open_.tolist():
-            a = start[place[i]]
-            out.append((int(src[occ[i]]), None, hashlib.blake2b(text[a : a + MATCH], digest_size=16).digest(), int(doc[occ[i]]), int(byte[i])))
-        return pd.DataFrame(out, columns=["src", "blob", "window", "doc_id", "byte"])
+        if len(open_):
+            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, MATCH)[start[place[open_]]]).view(f"V{MATCH}").ravel()
+            name = np.array([hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in windows], "V16")
+            for to, rows in _split(name.view("<u8")[::2].copy(), parts):
+                out.append((to, None, _pack(name[rows], doc[occ[open_[rows]]], byte[open_[rows]], src[occ[open_[rows]]])))
+        return pd.DataFrame(out, columns=["src", "blob", "open"])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, doc, byte, src = (np.concatenate(c) for c in zip(*(_unpack(b) for b in pdf["open"]), strict=True))
+        group = np.unique(name, return_inverse=True)[1]
+        least = np.full(group.max() + 1, (1 << 63) - 1)
+        np.minimum.at(least, group, doc)
+        late = np.flatnonzero(least[group] < doc)
+        late = late[np.argsort(src[late], kind="stable")]
+        out = [(int(src[rows[0]]), _pack(doc[rows], byte[rows], byte[rows] + MATCH)) for rows in np.split(late, np.flatnonzero(np.diff(src[late])) + 1) if len(rows)]
+        return pd.DataFrame(out, columns=["src", "blob"])
 
     sent = texts.groupBy("src").cogroup(shared.groupBy("src")).applyInPandas(send, "part int, src int, blob binary")
-    found = materialise(sent.groupBy("part").applyInPandas(settle, "src int, blob binary, window binary, doc_id long, byte long"), "marks")
-    hot = found.where("window IS NOT NULL")
-    least = hot.groupBy("window").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "least")
-    rest = hot.join(least, "window").where("doc_id > least").select("src", F.lit(None).cast("binary").alias("blob"), "doc_id", "byte")
-    return found.where("blob IS NOT NULL").select("src", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("byte")).union(rest)
+    found = materialise(sent.groupBy("part").applyInPandas(settle, "src int, blob binary, open binary"), "marks")
+    late = found.where("open IS NOT NULL").groupBy("src").applyInPandas(meet, "src int, blob binary")
+    return found.where("blob IS NOT NULL").select("src", "blob").union(late)
 
 
 def _cut(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -288,11 +299,9 @@ def _cut(texts: DataFrame, marks: DataFrame) -> DataFrame:
 
     def cut(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         doc, lo, hi = [], [], []
-        for blob in known["blob"].dropna() if len(known) else []:
+        for blob in known["blob"] if len(known) else []:
             d, a, b = _unpack(blob)
             doc.append(d), lo.append(a), hi.append(b)
-        if len(known) and (one := known[known["doc_id"].notna()]).shape[0]:
-            doc.append(one["doc_id"].to_numpy(np.int64)), lo.append(one["byte"].to_numpy(np.int64)), hi.append(one["byte"].to_numpy(np.int64) + MATCH)
         doc, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, lo, hi))
         order = np.argsort(doc, kind="stable")
         doc, lo, hi = doc[order], lo[order], hi[order]
