@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,31 +27,30 @@ from cubeframe.llm.common import materialise
 CAPACITY, END_ID = 4096, 1
 #: Text for which the word cache does not promise the library's own result: it goes through the library whole.
 UNUSUAL = "[\x1c-\x1f\x85ɐ-‏ -₫₭-\U0010ffff]|<\\|"
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids; words seen before are not encoded again."""
+    """Texts to little-endian 32-bit ids; stretches between white space that were seen before are not encoded again."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
-        self.unusual, self.words = regex.compile(UNUSUAL).search, regex.compile(PRE_TOKEN).findall
+        self.unusual = regex.compile(UNUSUAL).search
 
     def __call__(self, text: str) -> bytes:
         if self.unusual(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, words = self.known, self.words(text.lower())
+        known, parts = self.known, text.lower().split()
         if len(known) > self.most:
             known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = list(set(parts).difference(known))
         for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            known[w] = array("I", e.ids).tobytes()
+        return b"".join(map(known.__getitem__, parts))
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
