@@ -53,12 +53,24 @@ class Encoder:
         return b"".join(map(known.__getitem__, parts))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its later tasks find the words of its earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and ``end_id``, cut where longer than ``capacity``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encode = Encoder(tokenizer)
+        from cubeframe.llm import packing  # the module itself: what is sent with the function would be a copy
+
+        encode = packing.encoder(tokenizer)
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
