@@ -32,4 +32,4 @@ def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
         if seen == last or not seen[0]:
             return now
         last = seen
-        now = materialise(_star(materialise(_star(now, small=False), name), small=True), name)
+        now = materialise(_star(_star(now, small=False), small=True), name)  # one job; the first step's exchange is shared

@@ -79,61 +79,82 @@ def _exact(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return 100 * both >= share * (len(a) + len(b) - both)
 
 
-def compare(ids: list, sets: list[np.ndarray], labels: list, left: np.ndarray, right: np.ndarray, share: int) -> list[tuple]:
-    """Links that connect what ``labels`` does not connect yet, between items with ``left`` and items with ``right``."""
-    n = len(ids)
-    sig = np.array([signature(s) for s in sets])
-    keys, sizes = np.array([bands(s) for s in sig]), np.array([len(s) for s in sets])
-    root: dict = {}
+def compare(ids: list, shingles, sizes: np.ndarray, keys: np.ndarray, labels: list, left: np.ndarray, share: int) -> list[tuple]:
+    """Links that connect what ``labels`` does not connect yet, between items with ``left`` and all others.
 
-    def find(x):
-        while x in root:
-            x = root[x]
-        return x
-
-    tops, links = np.array([hash(find(x)) for x in labels]), []
+    ``shingles(k)`` gives the set of item k; only items that share a band with an item not connected to them are asked for.
+    """
     order = {x: k for k, x in enumerate(dict.fromkeys(labels))}
-    tops = np.array([order[x] for x in labels])
-    for i in range(n):
-        other = np.arange(i)
-        other = other[(tops[:i] != tops[i]) & ((left[i] & right[:i]) | (right[i] & left[:i]))]
-        if not len(other):
-            continue
+    tops, links = np.array([order[x] for x in labels]), []
+    sigs, have = np.zeros((len(ids), BANDS * ROWS), np.uint32), np.zeros(len(ids), bool)
+
+    for i in range(len(ids)):
+        other = np.flatnonzero((tops[:i] != tops[i]) & (left[:i] | left[i]))
         lo, hi = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
         other = other[100 * lo >= share * hi]
         other = other[(keys[other] == keys[i]).any(1)]
-        like = (sig[other] == sig[i]).mean(1)
+        if not len(other):
+            continue
+        for k in (i, *other[~have[other]]):
+            if not have[k]:
+                sigs[k], have[k] = signature(shingles(k)).astype(np.uint32), True
+        like = (sigs[other] == sigs[i]).mean(1)
         for j in other[np.argsort(-like)][: int((like >= share / 100 - SLACK).sum())]:
-            if tops[i] != tops[j] and _exact(sets[i], sets[j], share):
+            if tops[i] != tops[j] and _exact(shingles(i), shingles(j), share):
                 links.append((ids[i], ids[j]))
                 tops[tops == tops[j]] = tops[i]
     return links
 
 
-def _verified(groups: DataFrame, texts: DataFrame, size: int, share: int, across: bool) -> DataFrame:
-    """(u, v) links within the groups; groups: doc_id, digest, comp, chunks, chunk, label, main.
+def _verified(tasks: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
+    """(u, v) links within the tasks' groups of rows; tasks: doc_id, comp, label, main, a, b.
 
-    Each pair of a group's chunks meets in one task; ``across``: only where a label other than the main one takes part.
+    Two rows are compared unless both are ``main``.
     """
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    if across:
-        to = F.when(~F.col("main"), F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: pair(k, F.col("chunk"))))
-        met = groups.where(~F.col("main")).select("comp", F.col("chunk").alias("odd")).distinct()
-        guests = groups.join(met, "comp").select(*groups.columns, pair(F.col("odd"), F.col("chunk")).alias("p"))
-        tasks = guests.union(groups.select(*groups.columns, F.explode(to).alias("p"))).distinct()
-    else:
-        tasks = groups.select(*groups.columns, pair(F.col("chunk"), F.col("chunk")).alias("p"))
-    rows = tasks.join(texts, "doc_id").select("doc_id", "text", "comp", "label", "main", "p.a", "p.b")
-    kind = groups.schema["doc_id"].dataType.simpleString()
+    rows = tasks.join(texts, "doc_id").select("doc_id", "text", "n_shingles", "bands", "comp", "label", "main", "a", "b")
+    kind = tasks.schema["doc_id"].dataType.simpleString()
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        sets = list(shingle_sets(pdf["text"], size, WordHash()))
-        main = pdf["main"].to_numpy(bool)
-        left, right = (~main, np.ones(len(pdf), bool)) if across else (np.ones(len(pdf), bool),) * 2
-        return pd.DataFrame(compare(pdf["doc_id"].tolist(), sets, pdf["label"].tolist(), left, right, share), columns=["u", "v"])
+        seen, sets, of = WordHash(), {}, pdf["text"].tolist()
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = next(shingle_sets([of[k]], size, seen))
+            return sets[k]
+
+        keys = np.frombuffer(b"".join(pdf["bands"]), np.uint64).reshape(-1, BANDS)
+        links = compare(pdf["doc_id"].tolist(), shingles, pdf["n_shingles"].to_numpy(), keys, pdf["label"].tolist(), ~pdf["main"].to_numpy(bool), share)
+        return pd.DataFrame(stars(links), columns=["u", "v"])
+
+    return rows.repartition(parts, "comp", "a", "b").groupBy("comp", "a", "b").applyInPandas(block, f"u {kind}, v {kind}")
+
+
+def stars(links: list[tuple]) -> list[tuple]:
+    """The links of one task as (item, least item that it is connected with)."""
+    root: dict = {}
+
+    def find(x):
+        while x in root:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        u, v = find(u), find(v)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+    return [(x, find(x)) for x in root]
+
 
-    return rows.groupBy("comp", "a", "b").applyInPandas(block, f"u {kind}, v {kind}")
+def _met(groups: DataFrame) -> DataFrame:
+    """A task for each pair of a group's chunks of which one has a row that is not ``main``."""
+    cols = ["doc_id", "comp", "label", "main"]
+    odd = groups.where("NOT main").select("comp", F.col("chunk").alias("odd")).distinct()
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("odd")
+    hosts = groups.where("NOT main").select(*cols, "chunk", every)
+    guests = groups.join(odd, "comp").select(*cols, "chunk", "odd")
+    return guests.union(hosts).select(*cols, F.least("chunk", "odd").alias("a"), F.greatest("chunk", "odd").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:
@@ -143,7 +164,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, share: int = 80) ->
     """
     docs = documents.select("doc_id", "text")
     rows = materialise(classes(docs, shingle), "classes")
-    whole = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
+    whole = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"))
     whole = materialise(whole, "reps")
     longs = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.conv(F.hex(F.substring(F.col("bands"), k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
     keys = whole.where("rep IS NOT NULL").select("rep", F.explode(longs).alias("key"))
@@ -155,12 +176,13 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, share: int = 80) ->
     groups = comps.join(size, "comp").select("doc_id", "comp", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
     groups = materialise(groups, "groups")
     texts = docs.join(groups.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    texts = texts.join(whole.select(F.col("rep").alias("doc_id"), "n_shingles", "bands"), "doc_id")
     texts = materialise(texts, "texts")
-    links = materialise(_verified(groups.withColumns({"label": F.col("doc_id"), "main": F.lit(False)}), texts, shingle, share, across=False), "links")
+    own = groups.select("doc_id", "comp", F.col("doc_id").alias("label"), F.lit(False).alias("main"), F.col("chunk").alias("a"), F.col("chunk").alias("b"))
+    links = materialise(_verified(own, texts, shingle, share), "links")
     large = groups.where("chunks > 1")
     if not large.isEmpty():
-        found = connected_components(links, "within")
-        labelled = join_on(large, found.select(F.col("u").alias("doc_id"), F.col("v").alias("label")), ["doc_id"], "left").withColumn("label", F.coalesce("label", "doc_id"))
+        labelled = large.join(links.select(F.col("u").alias("doc_id"), F.col("v").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         links = links.union(materialise(_join_chunks(labelled, texts, shingle, share), "across"))
     found = connected_components(links, "links").select(F.col("u").alias("rep"), F.col("v").alias("component_id"))
     to = join_on(whole.select("digest", "rep"), found, ["rep"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
@@ -169,22 +191,22 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, share: int = 80) ->
 
 
 def _join_chunks(labelled: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
-    """Links between chunks of large groups.
+    """Links between chunks of large groups; labelled: doc_id, comp, chunks, chunk, label (the least it is linked with).
 
-    First each chunk meets a few members of the group's other chunks' largest labels, which connects most of a dense
-    group; then whatever is outside the group's largest label meets every chunk.
+    First each chunk meets a member of the largest label of each other chunk of its group, which connects most of a
+    dense group; then whatever is outside the group's largest label meets every chunk.
     """
     counted = labelled.groupBy("comp", "label", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
     pivots = counted.groupBy("comp", "chunk").agg(F.max_by("doc_id", F.struct("n", "doc_id")).alias("doc_id")).select("comp", "doc_id")
     heads = labelled.join(pivots, ["comp", "doc_id"], "left_semi")
-    meet = heads.select(*[c for c in labelled.columns if c != "chunk"], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(*labelled.columns)
-    first = _verified(labelled.union(meet).distinct().withColumn("main", F.lit(False)), texts, size, share, across=False)
-    first = materialise(first, "pivots")
+    meet = heads.select("doc_id", "comp", "label", F.lit(False).alias("main"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("a"))
+    stay = labelled.join(pivots, ["comp", "doc_id"], "left_anti").select("doc_id", "comp", "label", F.lit(True).alias("main"), F.col("chunk").alias("a"))
+    first = materialise(_verified(meet.union(stay).withColumn("b", F.col("a")), texts, size, share), "pivots")
     merged = connected_components(first.union(labelled.select(F.col("doc_id").alias("u"), F.col("label").alias("v"))), "pivoted")
-    now = join_on(labelled.drop("label"), merged.select(F.col("u").alias("doc_id"), F.col("v").alias("label")), ["doc_id"], "left").withColumn("label", F.coalesce("label", "doc_id"))
+    now = labelled.drop("label").join(merged.select(F.col("u").alias("doc_id"), F.col("v").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     now = materialise(now, "labelled")
     most = now.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    last = _verified(now.join(most, "comp").select(*now.columns, (F.col("label") == F.col("top")).alias("main")), texts, size, share, across=True)
+    last = _verified(_met(now.join(most, "comp").withColumn("main", F.col("label") == F.col("top"))), texts, size, share)
     return first.union(last)
 
 
