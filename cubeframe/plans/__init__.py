@@ -1 +1,3 @@
 """Part of cubeframe."""
+
+from cubeframe.plans import reports  # noqa: F401  registers its queries
