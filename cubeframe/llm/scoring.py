@@ -1,10 +1,12 @@
 """Masked pseudo-likelihood scores from a bidirectional window network, trained in numpy.
 
 A token is predicted from the two tokens on each side of it: their embeddings (one table for each place) are added and
-squashed, and two softmax layers give the token's group and its place in the group. The vocabulary holds the words of
-the most frequent hash cells of the whole corpus; all other words share the remaining tokens by hash. Every round
-trains a copy of the network on each partition of the documents, over all their tokens, and averages the copies,
-weighted by tokens, in a shuffle. A document's score is the sum of its tokens' conditional log-probabilities.
+squashed, and two softmax layers give the token's group and its place in the group. The vocabulary is a table of all
+distinct words (as 64-bit hashes) and their counts in the shared folder. The network has about as many tokens as the
+square root of the distinct words: one for each of the most frequent, and classes that all other words share by hash.
+A word's probability is its token's times its share of the token's occurrences, so over all words it adds up to 1.
+Every round trains a copy of the network on each partition of the documents, over all their tokens, and averages the
+copies, weighted by tokens, in a shuffle. A document's score is the sum of its words' conditional log-probabilities.
 
 Defined results: null texts and texts without words have no tokens, log-probability 0 and a null mean; rows with equal
 doc_id are scored each for itself; other columns are ignored; on an empty table the network stays as it began.
@@ -18,21 +20,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS, GROUPS, DIM, SIDE = 1 << 16, 32, 24, 2
+from cubeframe.llm.common import materialise
+
+GROUPS, DIM, SIDE = 32, 24, 2
 VOCABULARY = GROUPS * GROUPS
-#: Tokens shared by the words that are not among the most frequent.
-RARE = 64
+#: So many of the tokens, as a part of all, are classes of the words that have none of their own.
+RARE = 16
+#: The counts of so many of the most frequent words, at most, are broadcast; those of all others are joined.
+KNOWN = 1 << 18
 BATCH, RATE, ROUNDS = 2048, 0.08, 2
 
 
 class Cells(dict):
-    """word -> its hash cell; cleared when it grows large."""
+    """word -> its 64-bit hash; cleared when it grows large."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        self[word] = c = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % CELLS
-        return c
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = h - (1 << 64) if h >> 63 else h
+        return h
 
     def of(self, text: str | None) -> np.ndarray:
         if len(self) > 300_000:
@@ -41,42 +48,109 @@ class Cells(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def vocabulary(documents: DataFrame) -> np.ndarray:
-    """Hash cell -> token, from the counts of all words of all documents."""
+class Vocabulary:
+    """Word hash -> token, and a word's share of its token; ``counts`` has every distinct word, ``known`` the frequent."""
+
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+        words, self.least = 0, None  # known are the words counted ``least`` times or more
+        several = sorted(((r[0], r[1]) for r in counts.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True)
+        distinct = sum(k for _, k in several)
+        self.groups = max(GROUPS, int(np.ceil(distinct**0.25)))
+        self.rare = self.groups**2 // RARE
+        for n, k in several:
+            if (words := words + k) > KNOWN:
+                break
+            self.least = n
+        known = counts.where(F.col("n") >= self.least if self.least else F.lit(False)).toArrow().sort_by("hash")
+        self.known, n = known["hash"].to_numpy(), known["n"].to_numpy()
+        first = np.lexsort((self.known, -n))[: self.groups**2 - self.rare]
+        self.token = self.groups**2 - self.rare + self.known % self.rare
+        self.token[first] = np.arange(len(first))
+        self.head = self.known[np.sort(first)]
+        self.head_token = self.token[np.sort(first)]
+        self.totals = np.zeros(self.rare, np.int64)
+        for r in counts.groupBy(F.pmod("hash", F.lit(self.rare)).alias("class")).agg(F.sum("n").alias("n")).collect():  # a row for each class
+            self.totals[r["class"]] = r["n"]
+        np.subtract.at(self.totals, self.known[first] % self.rare, n[first])
+        self.share = np.log(n / np.maximum(1, self.totals)[self.known % self.rare])
+        self.share[first] = 0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "counts"}
+
+    @staticmethod
+    def _find(table: np.ndarray, hashes: np.ndarray):
+        at = np.searchsorted(table, hashes)
+        at[at == len(table)] = 0
+        return at, table[at] == hashes if len(table) else np.zeros(len(hashes), bool)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.groups**2 - self.rare + hashes % self.rare
+        at, own = self._find(self.head, hashes)
+        out[own] = self.head_token[at[own]]
+        return out
+
+    def log_shares(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the known words the logarithm of the word's share of its token, 0 of others; and which are known."""
+        at, known = self._find(self.known, hashes)
+        out = np.zeros(len(hashes))
+        out[known] = self.share[at[known]]
+        return out, known
+
+    def others(self) -> DataFrame:
+        """hash, share: the words that are not known, with the logarithm of their share."""
+        totals = self.counts.sparkSession.createDataFrame([(k, int(n)) for k, n in enumerate(self.totals)], "class long, total long")
+        rest = self.counts.where(F.col("n") < self.least) if self.least else self.counts
+        rest = rest.join(F.broadcast(totals), F.pmod("hash", F.lit(self.rare)) == F.col("class"))
+        return rest.select("hash", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def vocabulary(documents: DataFrame) -> Vocabulary:
+    """The counts of all words of all documents, in the shared folder, and the tokens they give."""
 
     def count(batches):
-        n, cells = np.zeros(CELLS, np.int64), Cells()
-        for pdf in batches:
-            for text in pdf["text"]:
-                n += np.bincount(at, minlength=CELLS) if len(at := cells.of(text)) > CELLS // 4 else 0
-                if len(at) <= CELLS // 4:
-                    np.add.at(n, at, 1)
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"cell": at, "n": n[at]})
-
-    rows = documents.select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most CELLS rows
-    token = VOCABULARY - RARE + np.arange(CELLS) % RARE
-    for k, (cell, _) in enumerate(sorted(((r[0], r[1]) for r in rows), key=lambda r: (-r[1], r[0]))[: VOCABULARY - RARE]):
-        token[cell] = k
-    return token
+        cells, held, size = Cells(), [], 0
+        seen, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+        def merge():
+            one, k = np.unique(np.concatenate(held), return_counts=True) if held else (seen[:0], n[:0])
+            both, at = np.unique(np.concatenate([seen, one]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([n, k]), len(both)).astype(np.int64)
 
-def start() -> dict[str, np.ndarray]:
+        for pdf in batches:
+            for text in pdf["text"]:
+                held.append(cells.of(text))
+                size += len(held[-1])
+                if size > 1_000_000:
+                    seen, n = merge()
+                    held, size = [], 0
+                    if len(seen) > 2_000_000:
+                        yield pd.DataFrame({"hash": seen, "n": n})
+                        seen, n = seen[:0], n[:0]
+        seen, n = merge()
+        yield pd.DataFrame({"hash": seen, "n": n})
+
+    rows = documents.select("text").mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return Vocabulary(materialise(rows, "vocabulary"))
+
+
+def start(groups: int = GROUPS) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(17)
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     return {
-        "embed": small(2 * SIDE, VOCABULARY + 1, DIM),  # the last token stands for "outside the text"
+        "embed": small(2 * SIDE, groups * groups + 1, DIM),  # the last token stands for "outside the text"
         "hidden": np.zeros(DIM, np.float32),
-        "group": small(DIM, GROUPS),
-        "group_bias": np.zeros(GROUPS, np.float32),
-        "member": small(DIM, GROUPS),
-        "member_bias": np.zeros((GROUPS, GROUPS), np.float32),
+        "group": small(DIM, groups),
+        "group_bias": np.zeros(groups, np.float32),
+        "member": small(DIM, groups),
+        "member_bias": np.zeros((groups, groups), np.float32),
     }
 
 
 def contexts(tokens: np.ndarray) -> np.ndarray:
     """The SIDE tokens before and after each token of one text."""
-    edge = np.full(SIDE, VOCABULARY, np.int64)
+    edge = np.full(SIDE, -1, np.int64)  # the last token
     padded = np.concatenate([edge, tokens, edge])
     n = len(tokens)
     return np.stack([padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE])
@@ -90,32 +164,32 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 def forward(net: dict, ctx: np.ndarray, tokens: np.ndarray):
     """(hidden, log-softmax of groups, log-softmax within the group)."""
     h = np.tanh(sum(net["embed"][k][ctx[k]] for k in range(2 * SIDE)) + net["hidden"])
-    return h, _log_softmax(h @ net["group"] + net["group_bias"]), _log_softmax(h @ net["member"] + net["member_bias"][tokens // GROUPS])
+    return h, _log_softmax(h @ net["group"] + net["group_bias"]), _log_softmax(h @ net["member"] + net["member_bias"][tokens // net["group"].shape[1]])
 
 
 def log_probabilities(net: dict, tokens: np.ndarray) -> np.ndarray:
     if not len(tokens):
         return np.zeros(0)
-    rows, out = np.arange(BATCH), []
+    rows, out, groups = np.arange(BATCH), [], net["group"].shape[1]
     ctx = contexts(tokens)
     for at in range(0, len(tokens), BATCH):
         t = tokens[at : at + BATCH]
         _, a, b = forward(net, ctx[:, at : at + BATCH], t)
-        out.append(a[rows[: len(t)], t // GROUPS] + b[rows[: len(t)], t % GROUPS])
+        out.append(a[rows[: len(t)], t // groups] + b[rows[: len(t)], t % groups])
     return np.concatenate(out)
 
 
 def step(net: dict, past: dict, ctx: np.ndarray, tokens: np.ndarray) -> None:
     """One AdaGrad step on a batch."""
-    n, rows = len(tokens), np.arange(len(tokens))
+    n, rows, groups = len(tokens), np.arange(len(tokens)), net["group"].shape[1]
     h, a, b = forward(net, ctx, tokens)
     da, db = np.exp(a), np.exp(b)
-    da[rows, tokens // GROUPS] -= 1
-    db[rows, tokens % GROUPS] -= 1
+    da[rows, tokens // groups] -= 1
+    db[rows, tokens % groups] -= 1
     da /= n
     db /= n
-    one = np.zeros((n, GROUPS), np.float32)
-    one[rows, tokens // GROUPS] = 1
+    one = np.zeros((n, groups), np.float32)
+    one[rows, tokens // groups] = 1
     dh = (da @ net["group"].T + db @ net["member"].T) * (1 - h * h)
     grads = {"group": h.T @ da, "group_bias": da.sum(0), "member": h.T @ db, "member_bias": one.T @ db, "hidden": dh.sum(0)}
     for k, g in grads.items():
@@ -129,12 +203,12 @@ def step(net: dict, past: dict, ctx: np.ndarray, tokens: np.ndarray) -> None:
         net["embed"][k][at] -= (RATE * g / np.sqrt(past["embed"][k][at])).astype(np.float32)
 
 
-def train(documents: DataFrame, token: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(documents: DataFrame, token: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """The network after ``rounds`` passes over all tokens of all documents."""
-    spark, net = documents.sparkSession, start()
+    spark, net = documents.sparkSession, start(token.groups)
     names = list(net)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((net, token))  # of fixed size
+        shared = spark.sparkContext.broadcast((net, token))  # the known words, and parameters as the root of the distinct words
 
         def local(batches, shared=shared):
             own, token = shared.value
@@ -170,7 +244,7 @@ def train(documents: DataFrame, token: np.ndarray, rounds: int = ROUNDS) -> dict
 
         kind = sent.schema
         some = sent.groupBy("part", F.pmod("copy", F.lit(1024))).applyInPandas(add, kind)  # no group holds all copies
-        got = some.groupBy("part").applyInPandas(add, kind).collect()  # the parameters: of fixed size
+        got = some.groupBy("part").applyInPandas(add, kind).collect()  # the parameters
         if got:
             flat, at = np.concatenate([np.array(r["sums"]) / r["n"] for r in sorted(got, key=lambda r: r["part"])]), 0
             for k in names:
@@ -179,21 +253,37 @@ def train(documents: DataFrame, token: np.ndarray, rounds: int = ROUNDS) -> dict
     return net
 
 
-def scores(documents: DataFrame, net: dict, token: np.ndarray) -> DataFrame:
+def scores(documents: DataFrame, net: dict, token: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood: one row for each document."""
     shared = documents.sparkSession.sparkContext.broadcast((net, token))
 
     def of(batches):
-        cells = Cells()
+        net, token = shared.value
+        cells, row = Cells(), TaskContext.get().partitionId() << 40
         for pdf in batches:
-            net, token = shared.value
-            found = [log_probabilities(net, token[cells.of(t)]) for t in pdf["text"]]
-            n = [len(f) for f in found]
-            total = [float(f.sum(dtype=np.float64)) for f in found]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "log_likelihood": total, "mean_log_likelihood": [t / k if k else None for t, k in zip(total, n, strict=True)]})
+            # a row for each document, by a key that no word need have, and one for each of its words to be joined
+            first, words, counts, at = [], [], [], []
+            for text in pdf["text"]:
+                h = cells.of(text)
+                share, known = token.log_shares(h)
+                first.append((row, len(h), float((log_probabilities(net, token[h]) + share).sum(dtype=np.float64)), row, 0))
+                if not known.all():
+                    word, n = np.unique(h[~known], return_counts=True)
+                    words.append(word)
+                    counts.append(n)
+                    at.append(np.full(len(word), row))
+                row += 1
+            base = pd.DataFrame(first, columns=["row", "n_tokens", "log_likelihood", "hash", "n"])
+            yield base.assign(doc_id=pdf["doc_id"].to_numpy())
+            if words:
+                yield pd.DataFrame({"row": np.concatenate(at), "doc_id": None, "n_tokens": 0, "log_likelihood": 0.0, "hash": np.concatenate(words), "n": np.concatenate(counts)})
 
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = rows.mapInPandas(of, "doc_id string, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    parts = rows.mapInPandas(of, "row long, doc_id string, n_tokens long, log_likelihood double, hash long, n long")
+    parts = parts.join(token.others(), "hash", "left")
+    total = F.sum(F.col("log_likelihood") + F.col("n") * F.coalesce("share", F.lit(0.0)))
+    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), total.alias("log_likelihood"))
+    out = out.select("doc_id", "n_tokens", "log_likelihood", F.expr("log_likelihood / nullif(n_tokens, 0)").alias("mean_log_likelihood"))
     return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 

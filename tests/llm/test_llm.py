@@ -243,3 +243,29 @@ def test_scoring(docs, rows):
     _, a, _ = scoring.forward(net, ctx, t)
     assert np.allclose(np.exp(a).sum(1), 1, atol=1e-4)
     assert scoring.scores(docs.limit(0), scoring.train(docs.limit(0), token), token).count() == 0
+
+
+@pytest.mark.parametrize("known", [1500, 1 << 18])
+def test_scoring_tells_rare_words_apart(spark, monkeypatch, known):
+    """Every word of the corpus has a probability of its own, they add up to 1, and joined words score as known ones."""
+    monkeypatch.setattr(scoring, "KNOWN", known)
+    n = {f"w{k}": 1 + (k < 1400) + (k < 1200) * 9 + (k == 5000) * 4 for k in range(6000)}
+    words = [w for w, k in n.items() for _ in range(k)]
+    random.Random(1).shuffle(words)
+    table = spark.createDataFrame([(k, " ".join(words[k::50])) for k in range(50)] + [(None, None)], "doc_id long, text string").repartition(3)
+    token = scoring.vocabulary(table)
+    assert token.counts.count() == len(n)
+    net = scoring.train(table, token, rounds=1)
+    one = spark.createDataFrame([(k, f"w{k}") for k in range(6000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_likelihood"] for r in scoring.scores(one, net, token).collect()}
+    assert abs(sum(np.exp(v) for v in got.values()) - 1) < 1e-4
+    own = {k: token[scoring.Cells().of(f"w{k}")][0] for k in range(5000, 6000)}
+    mates = [k for k in range(5001, 6000) if own[k] == own[5000]]
+    assert mates and all(abs(got[5000] - got[k] - np.log(5)) < 1e-5 for k in mates)
+    whole = {r["doc_id"]: r for r in scoring.scores(table, net, token).collect()}
+    assert len(whole) == 51 and whole[None]["n_tokens"] == 0 and whole[None]["mean_log_likelihood"] is None
+    h = scoring.Cells().of(" ".join(words[7::50]))
+    count = [n[w] for w in words[7::50]]
+    heads = token[h] < token.groups**2 - token.rare
+    share = np.where(heads, 0, np.log(np.array(count) / token.totals[h % token.rare]))
+    assert abs(whole[7]["log_likelihood"] - (scoring.log_probabilities(net, token[h]) + share).sum()) < 1e-3
