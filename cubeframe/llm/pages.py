@@ -1,10 +1,11 @@
 """Main text of web pages: page structure plus a suffix array of each host's token streams.
 
-Mark-up settles what it can: blocks in an article or main element are kept, blocks in menus, footers, adverts and the
-like go. All blocks outside an article are set end to end, page after page, for each host; the suffix array of these
-streams shows the token runs that stand on several pages. On a page without an article, blocks that such runs cover
-are boilerplate and what is left is the text. A host's pages are taken in groups of about ``CROWD``, dealt by a hash,
-so that no host is one task; runs are counted within a group.
+All blocks of a host's pages, those of articles too, are set end to end, page after page; the suffix array of these
+streams shows on how many pages each run of ``RUN`` tokens stands. A host's pages are taken in groups of about
+``CROWD``, dealt by a hash, so that no host is one task; groups of one host exchange the counts of their runs, so runs
+are counted over the whole host. Blocks in menus, footers, adverts and the like go. Runs on half of a host's pages, and
+on ``COMMON`` at least, go everywhere, in articles too. Blocks outside articles also go where runs on two pages cover
+half of them. What is left is the text.
 
 Defined results: null or empty html gives an empty text; broken mark-up is read as far as it goes; a null or odd url
 is a host of its own name; repeated rows each get a row, and copies of one page (equal page_id, url and html) count
@@ -21,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeframe.llm.common import join_on
+from cubeframe.llm.common import WordHash, materialise, mix
 
-CROWD, RUN = 256, 6
+CROWD, RUN, COMMON = 256, 6, 4
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[/!?]?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?][^>]*>|[^<]+|<",
     re.S | re.I,
@@ -100,94 +101,112 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def repeated_tokens(streams: list[list[int]], pages: list[int], run: int = RUN) -> list[np.ndarray]:
-    """For each stream which of its tokens lie in a run that stands on several pages.
+class Runs:
+    """The suffix array of all streams, end to end, sorted by the first ``run`` tokens (by prefix doubling).
 
-    The suffix array of all streams, end to end, sorted by the first ``run`` tokens (by prefix doubling); a stream
-    shorter than ``run`` counts whole.
+    Suffixes that begin alike are one run: ``keys`` has its hash and ``pages`` the number of pages it stands on. A
+    stream shorter than ``run`` counts whole.
     """
-    sizes = [len(s) + 2 for s in streams]  # each between marks, so that short blocks are whole runs
-    flat = np.concatenate([[1, *s, 2] for s in streams]) if streams else np.zeros(0, np.int64)
-    page = np.repeat(pages, sizes)
-    begin = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(streams)), sizes)
-    end = (begin + sizes)[owner] if len(streams) else np.zeros(0, np.int64)
-    rank, have = np.unique(flat, return_inverse=True)[1] + 1, 1
-    n = len(flat)
-    at = np.arange(n)
-    while have < run:
-        nxt = min(have, run - have)
-        second = np.where(at + nxt < end, rank[np.minimum(at + nxt, n - 1)], 0) if n else rank
-        rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1] + 1
-        have += nxt
-    order = np.argsort(rank, kind="stable")  # the suffix array
-    first = np.minimum.reduceat(page[order], np.flatnonzero(np.diff(rank[order], prepend=-1))) if n else page
-    last = np.maximum.reduceat(page[order], np.flatnonzero(np.diff(rank[order], prepend=-1))) if n else page
-    many = (first != last)[rank - 1] if n else np.zeros(0, bool)
-    fits = (at + run <= end) | (at == begin[owner] if n else False)
-    hit = np.zeros(n + run + 1, np.int64)
-    starts = np.flatnonzero(many & fits)
-    np.add.at(hit, starts, 1)
-    np.add.at(hit, np.minimum(starts + run, end[starts]), -1)
-    covered = np.cumsum(hit)[:n] > 0
-    return [covered[b + 1 : b + s - 1] for b, s in zip(begin, sizes, strict=True)]
+
+    def __init__(self, streams: list[np.ndarray], pages: list[int], run: int = RUN):
+        self.sizes = np.array([len(s) + 2 for s in streams], np.int64)  # each between marks, so that short blocks are whole runs
+        marks = np.array([[1], [2]], np.uint64)
+        flat = np.concatenate([x for s in streams for x in (marks[0], s, marks[1])]) if streams else np.zeros(0, np.uint64)
+        page = np.repeat(np.array(pages, np.int64), self.sizes)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        owner = np.repeat(np.arange(len(streams)), self.sizes)
+        end = (self.begin + self.sizes)[owner]
+        rank, have, n = np.unique(flat, return_inverse=True)[1] + 1, 1, len(flat)
+        at = np.arange(n)
+        while have < run:
+            nxt = min(have, run - have)
+            second = np.where(at + nxt < end, rank[np.minimum(at + nxt, n - 1)], 0) if n else rank
+            rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1] + 1
+            have += nxt
+        starts = np.flatnonzero((at + run <= end) | (at == self.begin[owner]))
+        starts = starts[np.argsort(rank[starts], kind="stable")]  # the suffix array
+        fresh = np.diff(rank[starts], prepend=-1) != 0
+        self.of = np.cumsum(fresh) - 1
+        pairs = np.unique(self.of * (len(streams) + 1) + page[starts]) // (len(streams) + 1)
+        self.pages = np.bincount(pairs, minlength=int(fresh.sum()))
+        first = starts[fresh]
+        self.keys = np.zeros(len(first), np.uint64)
+        for k in range(run):
+            self.keys = mix(self.keys + np.where(first + k < end[first], flat[np.minimum(first + k, n - 1)], 0).astype(np.uint64) + np.uint64(k)) if n else self.keys
+        self.starts, self.stops, self.n = starts, np.minimum(starts + run, end[starts]), n
+
+    def covered(self, least: int) -> list[np.ndarray]:
+        """For each stream which of its tokens lie in a run that stands on ``least`` pages or more."""
+        many = (self.pages >= least)[self.of]
+        hit = np.zeros(self.n + 1, np.int64)
+        np.add.at(hit, self.starts[many], 1)
+        np.add.at(hit, self.stops[many], -1)
+        on = np.cumsum(hit)[: self.n] > 0
+        return [on[b + 1 : b + s - 1] for b, s in zip(self.begin, self.sizes, strict=True)]
+
+
+def crowd_runs(crowd: pd.DataFrame) -> Runs:
+    seen = WordHash()
+    streams, pages_ = [], []
+    for k, texts in enumerate(crowd["texts"]):
+        for t in texts:
+            words = t.encode("utf-8", "surrogatepass").split(b" ")
+            streams.append(np.fromiter(map(seen.__getitem__, words), np.uint64, len(words)))
+            pages_.append(k)
+    return Runs(streams, pages_)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each page."""
     key = F.xxhash64("page_id", "url", "html").alias("_key")
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")), F.lower("url"), F.lit("")).alias("host")
-    rows = pages.select("page_id", "url", "html", host, key)
     kinds = {f: pages.schema[f].dataType.simpleString() for f in ("page_id", "url")}
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host, key)
 
-    def settle(batches):
+    def parse(batches):
         for pdf in batches:
             got = [blocks(p) for p in pdf["html"]]
-            done = [any(k == 2 for _, k in b) for b in got]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "_key": pdf["_key"], "done": done, "text": ["\n\n".join(t for t, k in b if k == 2) for b in got]})
-
-    def loose(batches):
-        for pdf in batches:
-            got = [blocks(p) for p in pdf["html"]]
-            yield pd.DataFrame(
-                {
-                    "_key": pdf["_key"],
-                    "host": pdf["host"],
-                    "done": [any(k == 2 for _, k in b) for b in got],
-                    "texts": [[t for t, k in b if k != 2] for b in got],
-                    "kinds": [[k for _, k in b if k != 2] for b in got],
-                }
-            )
-
-    plain = rows.withColumn("page_id", F.col("page_id").cast("string"))
-    settled = plain.mapInPandas(settle, "page_id string, url string, _key long, done boolean, text string")
-    outside = plain.select("html", "host", "_key").mapInPandas(loose, "_key long, host string, done boolean, texts array<string>, kinds array<int>")
-    crowds = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("crowds"))
-    crowd = F.pmod(F.xxhash64("_key"), F.coalesce("crowds", F.lit(1))).cast("int").alias("crowd")
-    dealt = outside.join(crowds, "host", "left").select("_key", "host", crowd, "done", "texts", "kinds")
-
-    def unique_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("_key")
-        words: dict[str, int] = {}
-        streams, pages_, where = [], [], []
-        for k, texts in enumerate(pdf["texts"]):
-            for t in texts:
-                streams.append([words.setdefault(w, len(words) + 3) for w in t.split()])
-                pages_.append(k)
-        covered = repeated_tokens(streams, pages_)
-        out, at = [], 0
-        for key, done, texts, kinds_ in zip(pdf["_key"], pdf["done"], pdf["texts"], pdf["kinds"], strict=True):
-            part = covered[at : at + len(texts)]
+            yield pdf.drop(columns="html").assign(texts=[[t for t, _ in b] for b in got], kinds=[[k for _, k in b] for b in got])
+
+    parsed = rows.mapInPandas(parse, "page_id string, url string, host string, _key long, texts array<string>, kinds array<int>")
+    parsed = materialise(parsed, "pages")
+    hosts = parsed.groupBy("host").agg(F.countDistinct("_key").alias("pages")).where(F.col("pages") > CROWD)  # at most a CROWD-th of the pages
+    crowds = F.coalesce(F.ceil(F.col("pages") / CROWD), F.lit(1))
+    crowd = F.xxhash64("host", F.pmod(F.xxhash64("_key"), crowds)).alias("crowd")
+    dealt = parsed.join(F.broadcast(hosts), "host", "left").select("page_id", "url", "host", "pages", "_key", "texts", "kinds", crowd)
+
+    def counts(pdf: pd.DataFrame) -> pd.DataFrame:
+        once = pdf.drop_duplicates("_key") if pd.notna(pdf["pages"].iloc[0]) else pdf[:0]  # a host of one crowd has none to ask
+        runs = crowd_runs(once)
+        return pd.DataFrame({"crowd": pdf["crowd"].iloc[0], "run": of_host(runs, pdf), "n": runs.pages})
+
+    def of_host(runs: Runs, pdf: pd.DataFrame) -> np.ndarray:
+        return mix(runs.keys ^ np.uint64(WordHash()[pdf["host"].iloc[0].encode("utf-8", "surrogatepass")])).view(np.int64)
+
+    sent = dealt.groupBy("crowd").applyInPandas(counts, "crowd long, run long, n int")
+    whole = sent.groupBy("run").agg(F.sum("n").alias("n"), F.collect_list("crowd").alias("in")).where(F.size("in") > 1)
+    whole = whole.select(F.explode("in").alias("crowd"), "run", "n")  # to each crowd the runs it shares with others
+
+    def main(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        once = pdf.drop_duplicates("_key")
+        out, at = {}, 0
+        if len(once):
+            runs, size = crowd_runs(once), once["pages"].iloc[0]
+            if len(others):
+                total = pd.Series(others["n"].to_numpy(), others["run"].to_numpy()).reindex(of_host(runs, once)).to_numpy()
+                runs.pages = np.where(np.isnan(total), runs.pages, total)
+            twice, often = runs.covered(2), runs.covered(max(COMMON, -(-int(size if pd.notna(size) else len(once)) // 2)))
+        for key, texts, marks in zip(once["_key"], once["texts"], once["kinds"], strict=True):
+            kept = []
+            for k, (t, m) in enumerate(zip(texts, marks, strict=True), at):
+                if m == 2 or (m == 1 and 2 * twice[k].sum() < len(twice[k])):
+                    kept.append(" ".join(w for w, c in zip(t.split(" "), often[k], strict=True) if not c) if often[k].any() else t)
             at += len(texts)
-            if not done:
-                kept = [t for t, k, c in zip(texts, kinds_, part, strict=True) if k and 2 * c.sum() < len(c)]
-                out.append((key, "\n\n".join(kept)))
-        return pd.DataFrame(out, columns=["_key", "found"])
-
-    found = dealt.groupBy("host", "crowd").applyInPandas(unique_runs, "_key long, found string").groupBy("_key").agg(F.min("found").alias("found"))
-    rest = join_on(settled.where("NOT done"), found, ["_key"], "left").select("page_id", "url", F.coalesce("found", F.lit("")).alias("text"))
-    out = settled.where("done").select("page_id", "url", "text").union(rest)
-    return out.select(F.col("page_id").cast(kinds["page_id"]).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+            out[key] = "\n\n".join(t for t in kept if t)
+        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": pdf["_key"].map(out).astype(object)})
+
+    found = dealt.groupBy("crowd").cogroup(whole.groupBy("crowd")).applyInPandas(main, "page_id string, url string, text string")
+    return found.select(F.col("page_id").cast(kinds["page_id"]).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:

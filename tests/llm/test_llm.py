@@ -269,3 +269,18 @@ def test_scoring_tells_rare_words_apart(spark, monkeypatch, known):
     heads = token[h] < token.groups**2 - token.rare
     share = np.where(heads, 0, np.log(np.array(count) / token.totals[h % token.rare]))
     assert abs(whole[7]["log_likelihood"] - (scoring.log_probabilities(net, token[h]) + share).sum()) < 1e-3
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 256])
+def test_pages_across_crowds(spark, monkeypatch, crowd):
+    """Runs are counted over the whole host, however its pages are dealt, and decide on pages with an article too."""
+    monkeypatch.setattr(pages, "CROWD", crowd)
+    own = [f"<p>own{k} text{k} of{k} page{k} number{k} here{k} now{k}</p>" for k in range(12)]
+    often, twice = "<p>Read all of our many other stories over here</p>", "<p>these words stand on just two of all pages</p>"
+    table = [(k, f"http://h.org/{k}", f"<article>{own[k]}{often}{twice if k in (1, 8) else ''}</article>") for k in range(10)]
+    table += [(k, f"http://h.org/{k}", f"<div>{own[k]}{twice}</div>") for k in (10, 11)]
+    table += [(12, "http://h.org/12", f"<div>body{own[0][3:-4]}s outside</div><article><p>a small one</p></article>"), (0, *table[0][1:])]
+    got = [(r["page_id"], r["text"]) for r in pages.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect()]
+    want = [(k, own[k][3:-4] + (f"\n\n{twice[3:-4]}" if k in (1, 8) else "")) for k in range(12)]
+    want += [(0, own[0][3:-4]), (12, f"body{own[0][3:-4]}s outside\n\na small one")]
+    assert sorted(got) == sorted(want)
