@@ -80,7 +80,7 @@ def _bitmaps(found: DataFrame) -> dict[int, Column]:
 
 def benchmark_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
     """(size, hash, wtext, item_id): the distinct windows of each item."""
-    items = benchmark.select("item_id", _words(F.col("text")).alias("words"), _words(F.lower("text")).alias("low"))
+    items = benchmark.select("item_id", _words(F.col("text")).alias("words"), _words(F.translate("text", UPPER, LOWER)).alias("low"))
     items = items.where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(window)))
     items = items.withColumn("h", _hashes(F.col("low")))
     cut = F.coalesce(*[F.when(F.col("n") == size, _windows(F.col("h"), [size])) for size in range(1, window + 1)])
@@ -101,7 +101,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: in
     if found.count() <= MOST_BROADCAST:
         texts, bits = F.broadcast(texts), _bitmaps(found)
     key = [F.col("doc_id"), F.xxhash64("text").alias("_text")]
-    seen = let(_hashes(_words(F.lower("text"))), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), _windows(h, sizes, bits).alias("at") if sizes else F.array().cast("array<struct<pos:int,size:int,hash:bigint>>").alias("at")))
+    seen = let(_hashes(_words(F.translate("text", UPPER, LOWER))), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), _windows(h, sizes, bits).alias("at") if sizes else F.array().cast("array<struct<pos:int,size:int,hash:bigint>>").alias("at")))
     if bits is None:  # every window meets the benchmark in a shuffle; only the count is kept
         base = documents.select(*key, F.size(_words(F.col("text"))).cast("long").alias("n_words"))
         wins = documents.select(*key, F.explode(seen["at"]).alias("w"))

@@ -284,3 +284,11 @@ def test_pages_across_crowds(spark, monkeypatch, crowd):
     want = [(k, own[k][3:-4] + (f"\n\n{twice[3:-4]}" if k in (1, 8) else "")) for k in range(12)]
     want += [(0, own[0][3:-4]), (12, f"body{own[0][3:-4]}s outside\n\na small one")]
     assert sorted(got) == sorted(want)
+
+
+def test_decontaminate_capital_sigma(spark):
+    """Words are lower-cased by A-Z only, so what follows a word does not change it."""
+    tail = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{tail} ΟΔΟΣ.ΑΒ")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, f"{tail} ΟΔΟΣ")], "item_id long, text string")
+    assert decontaminate.scan(docs, items).collect()[0]["n_hit"] == 13
