@@ -27,30 +27,101 @@ from cubeframe.llm.common import materialise
 CAPACITY, END_ID = 4096, 1
 #: Text for which the word cache does not promise the library's own result: it goes through the library whole.
 UNUSUAL = "[\x1c-\x1f\x85ɐ-‏ -₫₭-\U0010ffff]|<\\|"
+CONTROLS = "\x1c\x1d\x1e\x1f\x85"
+#: Marks that end many a word; each is a pre-token of its own after letters.
+TAILS = frozenset(".,;:!?)")
+#: Words encoded in one call, and characters of text whose new words are learnt together.
+CHUNK, STRETCH = 1000, 100_000
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids; stretches between white space that were seen before are not encoded again."""
+    """Texts to little-endian 32-bit ids; stretches between white space that were seen before are not encoded again.
 
-    def __init__(self, path: str, most: int = 700_000):
+    A new word of letters only is one pre-token, so that many of them are encoded in one call, set apart by spaces:
+    a word's last token, and no other, has the vocabulary's word-end mark.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
         self.unusual = regex.compile(UNUSUAL).search
+        self.letters = Tokenizer.from_file(path)  # for lower-case words of letters
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def odd(self, text: str) -> bool:
+        if "<|" in text or any(c in text for c in CONTROLS):
+            return True
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            return bool(self.unusual(text))
+
+    def learn(self, words: set[str]) -> None:
+        known, plain, odd = self.known, {}, []
+        for w in words:
+            if w.isalpha():
+                plain[w] = w
+            elif w[-1] in TAILS and w[:-1].isalpha():
+                plain[w] = w[:-1]
+            else:
+                odd.append(w)
+        odd += [c for c in {w[-1] for w, b in plain.items() if w != b} if c not in known]
+        new = [b for b in set(plain.values()) if b not in known]
+        for at in range(0, len(new), CHUNK):
+            some = new[at : at + CHUNK]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                odd += some
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, stop in zip(some, stops, strict=True):
+                known[w] = data[4 * begin : 4 * stop]
+                begin = stop
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        for w, b in plain.items():
+            if w != b:
+                known[w] = known[b] + known[w[-1]]
 
     def __call__(self, text: str) -> bytes:
-        if self.unusual(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, parts = self.known, text.lower().split()
-        if len(known) > self.most:
-            known.clear()
-        new = list(set(parts).difference(known))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        return next(self.many([text]))
+
+    def many(self, texts):
+        """The ids of each text; the new words of about ``STRETCH`` characters are learnt together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > STRETCH:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
+
+    def _some(self, texts: list[str]):
+        if len(self.known) > self.most:
+            self.known.clear()
+        parts = [None if self.odd(t) else t.lower().split() for t in texts]
+        new: set[str] = set()
+        for p in parts:
+            new.update(p or ())
+        new = new.difference(self.known)
+        self.learn(new)
+        get = self.known.__getitem__
+        for text, p in zip(texts, parts, strict=True):
+            if p is None:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join(map(get, p))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -73,8 +144,8 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
         encode = packing.encoder(tokenizer)
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
-                ids = encode(text or "") + end
+            for doc_id, ids in zip(pdf["doc_id"].tolist(), encode.many(t or "" for t in pdf["text"]), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -147,7 +218,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
             each = room // s
             full = min(bins, n // each)
             if full:
-                put(room - full * 0 - each * s, full, [*items, (s, each)])
+                put(room - each * s, full, [*items, (s, each)])
                 n -= full * each
             if bins > full and n and n < each:
                 put(room - n * s, 1, [*items, (s, n)])
@@ -181,7 +252,7 @@ def slots(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = materialise(pieces(documents, tokenizer, capacity, end_id), "pieces")
-    salts = int(min(4096, max(64, cut.count() // 2000)))
+    salts = int(min(1 << 16, max(64, cut.count() // 2000)))
     cut = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
     counted = materialise(cut.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("n")).collect()}  # one row for each length
