@@ -1,19 +1,23 @@
 """Masked pseudo-likelihood scores from a bidirectional window network, trained in numpy.
 
-A token is predicted from the two tokens on each side of it: their embeddings (one table for each place) are added and
+A token is predicted from the two tokens on each side of it: their embeddings, weighted by place, are added and
 squashed, and two softmax layers give the token's group and its place in the group. The vocabulary is a table of all
 distinct words (as 64-bit hashes) and their counts in the shared folder. The network has about as many tokens as the
 square root of the distinct words: one for each of the most frequent, and classes that all other words share by hash.
 A word's probability is its token's times its share of the token's occurrences, so over all words it adds up to 1.
-Every round trains a copy of the network on each partition of the documents, over all their tokens, and averages the
-copies, weighted by tokens, in a shuffle. A document's score is the sum of its words' conditional log-probabilities.
+Training passes once over all tokens of all documents, in ``ROUNDS`` rounds that each take their share of the documents
+by a hash of the text: every round trains a copy of the network on each partition and averages the copies, weighted by
+tokens, in a shuffle. A document's score is the sum of its words' conditional log-probabilities.
 
 Defined results: null texts and texts without words have no tokens, log-probability 0 and a null mean; rows with equal
-doc_id are scored each for itself; other columns are ignored; on an empty table the network stays as it began.
+doc_id are scored each for itself; a word that the vocabulary lacks counts as seen once; other columns are ignored; on
+an empty table the network stays as it began.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -22,30 +26,60 @@ from pyspark.sql import functions as F
 
 from cubeframe.llm.common import materialise
 
-GROUPS, DIM, SIDE = 32, 24, 2
+GROUPS, DIM, SIDE = 32, 16, 2
 VOCABULARY = GROUPS * GROUPS
 #: So many of the tokens, as a part of all, are classes of the words that have none of their own.
 RARE = 16
 #: The counts of so many of the most frequent words, at most, are broadcast; those of all others are joined.
-KNOWN = 1 << 18
+KNOWN = 1 << 21
 BATCH, RATE, ROUNDS = 2048, 0.08, 2
+#: Characters of text that are taken together.
+STRETCH = 1_000_000
+
 
+class Words(dict):
+    """word -> a number; ``hashes`` has the words' 64-bit hashes by number. Cleared between texts when it grows large."""
 
-class Cells(dict):
-    """word -> its 64-bit hash; cleared when it grows large."""
+    def __init__(self, most: int = 600_000):
+        self.most, self.fresh, self.hashes = most, [], np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        self[word] = h = h - (1 << 64) if h >> 63 else h
-        return h
+        self.fresh.append(h - (1 << 64) if h >> 63 else h)
+        self[word] = n = len(self)
+        return n
 
-    def of(self, text: str | None) -> np.ndarray:
-        if len(self) > 300_000:
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of the texts, end to end, and each text's number of words."""
+        if len(self) > self.most:
             self.clear()
-        words = (text or "").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            self.hashes = self.hashes[:0]
+        parts = [(t or "").lower().split() for t in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        out = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        self.hashes = np.concatenate([self.hashes, np.array(self.fresh, np.int64)])
+        self.fresh.clear()
+        return out, sizes
+
+    def hashed(self, text: str | None) -> np.ndarray:
+        numbers, _ = self.of([text])
+        return self.hashes[numbers]
+
+
+def stretches(batches):
+    """Lists of rows (tuples, the text last) of about STRETCH characters."""
+    held, size = [], 0
+    for pdf in batches:
+        for row in zip(*(pdf[c].tolist() for c in pdf.columns), strict=True):
+            held.append(row)
+            size += len(row[-1] or "")
+            if size > STRETCH:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 class Vocabulary:
@@ -73,8 +107,11 @@ class Vocabulary:
         for r in counts.groupBy(F.pmod("hash", F.lit(self.rare)).alias("class")).agg(F.sum("n").alias("n")).collect():  # a row for each class
             self.totals[r["class"]] = r["n"]
         np.subtract.at(self.totals, self.known[first] % self.rare, n[first])
-        self.share = np.log(n / np.maximum(1, self.totals)[self.known % self.rare])
+        self.share = np.log(n / np.maximum(1, self.totals)[self.known % self.rare]).astype(np.float32)
         self.share[first] = 0
+        self.once = -np.log(np.maximum(1, self.totals))
+        #: Words that are not known were all counted once, so that nothing need be joined.
+        self.settled = not distinct or (self.least is not None and self.least <= 2)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "counts"}
@@ -92,43 +129,43 @@ class Vocabulary:
         return out
 
     def log_shares(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the known words the logarithm of the word's share of its token, 0 of others; and which are known."""
+        """The logarithm of each word's share of its token, taken as seen once where it is not known; and which are known."""
         at, known = self._find(self.known, hashes)
-        out = np.zeros(len(hashes))
+        out = self.once[hashes % self.rare]
         out[known] = self.share[at[known]]
         return out, known
 
     def others(self) -> DataFrame:
-        """hash, share: the words that are not known, with the logarithm of their share."""
-        totals = self.counts.sparkSession.createDataFrame([(k, int(n)) for k, n in enumerate(self.totals)], "class long, total long")
+        """hash, more: the words that are not known, with what their share's logarithm has over that of a word seen once."""
         rest = self.counts.where(F.col("n") < self.least) if self.least else self.counts
-        rest = rest.join(F.broadcast(totals), F.pmod("hash", F.lit(self.rare)) == F.col("class"))
-        return rest.select("hash", F.log(F.col("n") / F.col("total")).alias("share"))
+        return rest.select("hash", F.log("n").alias("more"))
 
 
 def vocabulary(documents: DataFrame) -> Vocabulary:
     """The counts of all words of all documents, in the shared folder, and the tokens they give."""
 
     def count(batches):
-        cells, held, size = Cells(), [], 0
+        words, held, size = Words(), [], 0
         seen, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def merge():
-            one, k = np.unique(np.concatenate(held), return_counts=True) if held else (seen[:0], n[:0])
-            both, at = np.unique(np.concatenate([seen, one]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([n, k]), len(both)).astype(np.int64)
-
-        for pdf in batches:
-            for text in pdf["text"]:
-                held.append(cells.of(text))
-                size += len(held[-1])
-                if size > 1_000_000:
-                    seen, n = merge()
-                    held, size = [], 0
-                    if len(seen) > 2_000_000:
-                        yield pd.DataFrame({"hash": seen, "n": n})
-                        seen, n = seen[:0], n[:0]
-        seen, n = merge()
+            nonlocal seen, n
+            seen, at = np.unique(np.concatenate([seen, *(h for h, _ in held)]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, *(k for _, k in held)]), len(seen)).astype(np.int64)
+            held.clear()
+
+        for rows in stretches(batches):
+            got = np.bincount(words.of([r[-1] for r in rows])[0])
+            at = np.flatnonzero(got)
+            held.append((words.hashes[at], got[at]))
+            size += len(at)
+            if size > 1_000_000:
+                merge()
+                size = 0
+                if len(seen) > 2_000_000:
+                    yield pd.DataFrame({"hash": seen, "n": n})
+                    seen, n = seen[:0], n[:0]
+        merge()
         yield pd.DataFrame({"hash": seen, "n": n})
 
     rows = documents.select("text").mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -139,104 +176,114 @@ def start(groups: int = GROUPS) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(17)
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     return {
-        "embed": small(2 * SIDE, groups * groups + 1, DIM),  # the last token stands for "outside the text"
+        "embed": small(groups * groups + 1, DIM),  # the last token stands for "outside the text"
+        "place": 1 + small(2 * SIDE, DIM),
         "hidden": np.zeros(DIM, np.float32),
-        "group": small(DIM, groups),
+        "out": small(2 * groups, DIM),  # a row for each group, then for each place in a group
         "group_bias": np.zeros(groups, np.float32),
-        "member": small(DIM, groups),
         "member_bias": np.zeros((groups, groups), np.float32),
     }
 
 
-def contexts(tokens: np.ndarray) -> np.ndarray:
-    """The SIDE tokens before and after each token of one text."""
-    edge = np.full(SIDE, -1, np.int64)  # the last token
-    padded = np.concatenate([edge, tokens, edge])
-    n = len(tokens)
-    return np.stack([padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE])
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def forward(net: dict, ctx: np.ndarray, tokens: np.ndarray):
-    """(hidden, log-softmax of groups, log-softmax within the group)."""
-    h = np.tanh(sum(net["embed"][k][ctx[k]] for k in range(2 * SIDE)) + net["hidden"])
-    return h, _log_softmax(h @ net["group"] + net["group_bias"]), _log_softmax(h @ net["member"] + net["member_bias"][tokens // net["group"].shape[1]])
-
-
-def log_probabilities(net: dict, tokens: np.ndarray) -> np.ndarray:
-    if not len(tokens):
-        return np.zeros(0)
-    rows, out, groups = np.arange(BATCH), [], net["group"].shape[1]
-    ctx = contexts(tokens)
-    for at in range(0, len(tokens), BATCH):
-        t = tokens[at : at + BATCH]
-        _, a, b = forward(net, ctx[:, at : at + BATCH], t)
-        out.append(a[rows[: len(t)], t // groups] + b[rows[: len(t)], t % groups])
-    return np.concatenate(out)
-
-
-def step(net: dict, past: dict, ctx: np.ndarray, tokens: np.ndarray) -> None:
-    """One AdaGrad step on a batch."""
-    n, rows, groups = len(tokens), np.arange(len(tokens)), net["group"].shape[1]
-    h, a, b = forward(net, ctx, tokens)
-    da, db = np.exp(a), np.exp(b)
-    da[rows, tokens // groups] -= 1
-    db[rows, tokens % groups] -= 1
-    da /= n
-    db /= n
-    one = np.zeros((n, groups), np.float32)
-    one[rows, tokens // groups] = 1
-    dh = (da @ net["group"].T + db @ net["member"].T) * (1 - h * h)
-    grads = {"group": h.T @ da, "group_bias": da.sum(0), "member": h.T @ db, "member_bias": one.T @ db, "hidden": dh.sum(0)}
-    for k, g in grads.items():
-        past[k] += g * g
-        net[k] -= RATE * g / np.sqrt(past[k])
-    flat = np.arange(DIM)
-    for k in range(2 * SIDE):
-        at, back = np.unique(ctx[k], return_inverse=True)
-        g = np.bincount((back[:, None] * DIM + flat).ravel(), dh.ravel(), len(at) * DIM).reshape(len(at), DIM)
-        past["embed"][k][at] += g * g
-        net["embed"][k][at] -= (RATE * g / np.sqrt(past["embed"][k][at])).astype(np.float32)
+def streams(tokens: np.ndarray, sizes: np.ndarray, outside: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' tokens end to end, with SIDE tokens "outside" around each, and where the tokens stand."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(tokens)) + SIDE * (owner + 1)
+    flat = np.full(len(tokens) + SIDE * (len(sizes) + 1), outside, np.int64)
+    flat[at] = tokens
+    return flat, at
+
+
+def forward(net: dict, flat: np.ndarray):
+    """(embeddings, hidden layer, softmax numerators, their sums, log-probabilities) for all of ``flat`` but its ends.
+
+    The layers have a row for each unit and a column for each token.
+    """
+    n, groups = len(flat) - 2 * SIDE, len(net["group_bias"])
+    e, t = net["embed"][flat], flat[SIDE:-SIDE] % (groups * groups)  # what is outside a text predicts nothing of use
+    pre = np.broadcast_to(net["hidden"], (n, DIM)).copy()
+    for k, shift in enumerate(s for s in range(2 * SIDE + 1) if s != SIDE):
+        pre += e[shift : shift + n] * net["place"][k]
+    h = np.tanh(pre, out=pre)
+    z = net["out"] @ h.T
+    z[:groups] += net["group_bias"][:, None]
+    z[groups:] += net["member_bias"][t // groups].T
+    z = z.reshape(2, groups, n)
+    if np.abs(net["out"]).sum(1).max() + max(net["group_bias"].max(), net["member_bias"].max()) > 80:  # else no exponential can overflow
+        z -= z.max(1, keepdims=True)
+    rows = np.arange(n)
+    own = z[0, t // groups, rows] + z[1, t % groups, rows]
+    np.exp(z, out=z)
+    sums = z.sum(1)
+    return e, h, z, sums, own - np.log(sums[0]) - np.log(sums[1])
+
+
+def log_probabilities(net: dict, tokens: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Of every token, given those beside it in its text."""
+    sizes = np.array([len(tokens)]) if sizes is None else sizes
+    flat, at = streams(tokens, sizes, len(net["embed"]) - 1)
+    out = [forward(net, flat[a : a + BATCH + 2 * SIDE])[-1] for a in range(0, len(flat) - 2 * SIDE, BATCH)]
+    return np.concatenate([*out, np.zeros(0)])[at - SIDE]
+
+
+def step(net: dict, past: dict, flat: np.ndarray) -> None:
+    """One AdaGrad step on the tokens of a stretch; its ends are context only."""
+    n, groups = len(flat) - 2 * SIDE, len(net["group_bias"])
+    e, h, z, sums, _ = forward(net, flat)
+    t, rows = flat[SIDE:-SIDE], np.arange(n)
+    inside = t < groups * groups
+    if not inside.any():
+        return
+    t = t % (groups * groups)
+    z *= (inside / np.float32(inside.sum()) / sums)[:, None].astype(np.float32)
+    one = (inside / np.float32(inside.sum())).astype(np.float32)
+    z[0, t // groups, rows] -= one
+    z[1, t % groups, rows] -= one
+    dz = z.reshape(2 * groups, n)
+    dh = (dz.T @ net["out"]) * (1 - h * h)
+    place, de = np.empty_like(net["place"]), np.zeros((len(flat), DIM), np.float32)
+    for k, shift in enumerate(s for s in range(2 * SIDE + 1) if s != SIDE):
+        place[k] = np.einsum("ij,ij->j", dh, e[shift : shift + n])
+        de[shift : shift + n] += dh * net["place"][k]
+    of = np.zeros((groups, n), np.float32)
+    of[t // groups, rows] = 1
+    for name, g in (("out", dz @ h), ("group_bias", z[0].sum(1)), ("member_bias", of @ z[1].T), ("hidden", dh.sum(0)), ("place", place)):
+        past[name] += g * g
+        net[name] -= np.float32(RATE) * g / np.sqrt(past[name])
+    order = np.argsort(flat.astype(np.uint16) if groups < 256 else flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    g, at = np.add.reduceat(de[order], first, axis=0), flat[order[first]]
+    past["embed"][at] += g * g
+    net["embed"][at] -= np.float32(RATE) * g / np.sqrt(past["embed"][at])
 
 
 def train(documents: DataFrame, token: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The network after ``rounds`` passes over all tokens of all documents."""
+    """The network after one pass over all tokens of all documents, averaged ``rounds`` times."""
     spark, net = documents.sparkSession, start(token.groups)
     names = list(net)
-    for _ in range(rounds):
+    for k in range(rounds):
         shared = spark.sparkContext.broadcast((net, token))  # the known words, and parameters as the root of the distinct words
 
         def local(batches, shared=shared):
             own, token = shared.value
             own = {k: v.copy() for k, v in own.items()}
-            past = {k: np.full(v.shape, 1e-6) for k, v in own.items()}
-            cells, held, total = Cells(), [], 0
-            for pdf in batches:
-                for text in pdf["text"]:
-                    t = token[cells.of(text)]
-                    if len(t):
-                        held.append((contexts(t), t))
-                    have = sum(len(t) for _, t in held)
-                    if have >= BATCH:
-                        ctx, t = np.concatenate([c for c, _ in held], 1), np.concatenate([t for _, t in held])
-                        for at in range(0, have - BATCH + 1, BATCH):
-                            step(own, past, ctx[:, at : at + BATCH], t[at : at + BATCH])
-                        rest = have % BATCH
-                        held = [(ctx[:, have - rest :], t[have - rest :])] if rest else []
-                        total += have - rest
-            if held:
-                ctx, t = np.concatenate([c for c, _ in held], 1), np.concatenate([t for _, t in held])
-                step(own, past, ctx, t)
-                total += len(t)
+            past = {k: np.full(v.shape, 1e-6, np.float32) for k, v in own.items()}
+            words, of, total = Words(), np.zeros(0, np.int64), 0
+            for rows in stretches(batches):
+                numbers, sizes = words.of([r[-1] for r in rows])
+                if len(of) > len(words.hashes):
+                    of = of[:0]
+                of = np.concatenate([of, token[words.hashes[len(of) :]]])
+                flat, _ = streams(of[numbers], sizes, len(own["embed"]) - 1)
+                for at in range(0, len(flat) - 2 * SIDE, BATCH):
+                    step(own, past, flat[at : at + BATCH + 2 * SIDE])
+                total += len(numbers)
             if total:  # a row for each stretch of 1024 parameters
                 flat = np.concatenate([own[k].ravel() for k in names]).astype(np.float64) * total
                 yield pd.DataFrame({"copy": TaskContext.get().partitionId(), "part": np.arange(-(-len(flat) // 1024)), "n": float(total), "sums": [flat[a : a + 1024] for a in range(0, len(flat), 1024)]})
 
-        sent = documents.select("text").mapInPandas(local, "copy int, part int, n double, sums array<double>")
+        turn = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        sent = turn.mapInPandas(local, "copy int, part int, n double, sums array<double>")
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("copy", kind="stable")
@@ -247,9 +294,9 @@ def train(documents: DataFrame, token: Vocabulary, rounds: int = ROUNDS) -> dict
         got = some.groupBy("part").applyInPandas(add, kind).collect()  # the parameters
         if got:
             flat, at = np.concatenate([np.array(r["sums"]) / r["n"] for r in sorted(got, key=lambda r: r["part"])]), 0
-            for k in names:
-                net[k] = flat[at : at + net[k].size].reshape(net[k].shape).astype(np.float32)
-                at += net[k].size
+            for name in names:
+                net[name] = flat[at : at + net[name].size].reshape(net[name].shape).astype(np.float32)
+                at += net[name].size
     return net
 
 
@@ -259,30 +306,30 @@ def scores(documents: DataFrame, net: dict, token: Vocabulary) -> DataFrame:
 
     def of(batches):
         net, token = shared.value
-        cells, row = Cells(), TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            # a row for each document, by a key that no word need have, and one for each of its words to be joined
-            first, words, counts, at = [], [], [], []
-            for text in pdf["text"]:
-                h = cells.of(text)
-                share, known = token.log_shares(h)
-                first.append((row, len(h), float((log_probabilities(net, token[h]) + share).sum(dtype=np.float64)), row, 0))
-                if not known.all():
-                    word, n = np.unique(h[~known], return_counts=True)
-                    words.append(word)
-                    counts.append(n)
-                    at.append(np.full(len(word), row))
-                row += 1
-            base = pd.DataFrame(first, columns=["row", "n_tokens", "log_likelihood", "hash", "n"])
-            yield base.assign(doc_id=pdf["doc_id"].to_numpy())
-            if words:
-                yield pd.DataFrame({"row": np.concatenate(at), "doc_id": None, "n_tokens": 0, "log_likelihood": 0.0, "hash": np.concatenate(words), "n": np.concatenate(counts)})
+        words, row = Words(), TaskContext.get().partitionId() << 40
+        tokens, shares, known = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
+        for rows in stretches(batches):
+            numbers, sizes = words.of([r[-1] for r in rows])
+            if len(tokens) > len(words.hashes):
+                tokens, shares, known = tokens[:0], shares[:0], known[:0]
+            new = words.hashes[len(tokens) :]
+            share, seen = token.log_shares(new)
+            tokens, shares, known = np.concatenate([tokens, token[new]]), np.concatenate([shares, share]), np.concatenate([known, seen])
+            found = log_probabilities(net, tokens[numbers], sizes) + shares[numbers]
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            yield pd.DataFrame({"row": row + np.arange(len(rows)), "doc_id": [r[0] for r in rows], "n_tokens": sizes, "log_likelihood": np.bincount(owner, found, len(rows)), "hash": row, "n": 0})
+            if not token.settled and (out := ~known[numbers]).any():
+                # a row for each word of a document that is to be joined; the document's own row has a key that no word need have
+                pairs, n = np.unique(np.stack([owner[out], words.hashes[numbers[out]]]), axis=1, return_counts=True)
+                yield pd.DataFrame({"row": row + pairs[0], "doc_id": None, "n_tokens": 0, "log_likelihood": 0.0, "hash": pairs[1], "n": n})
+            row += len(rows)
 
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    parts = rows.mapInPandas(of, "row long, doc_id string, n_tokens long, log_likelihood double, hash long, n long")
-    parts = parts.join(token.others(), "hash", "left")
-    total = F.sum(F.col("log_likelihood") + F.col("n") * F.coalesce("share", F.lit(0.0)))
-    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), total.alias("log_likelihood"))
+    out = rows.mapInPandas(of, "row long, doc_id string, n_tokens long, log_likelihood double, hash long, n long")
+    if not token.settled:
+        out = out.join(token.others(), "hash", "left")
+        total = F.sum(F.col("log_likelihood") + F.col("n") * F.coalesce("more", F.lit(0.0)))
+        out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), total.alias("log_likelihood"))
     out = out.select("doc_id", "n_tokens", "log_likelihood", F.expr("log_likelihood / nullif(n_tokens, 0)").alias("mean_log_likelihood"))
     return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 

@@ -232,20 +232,40 @@ def test_pages(spark):
     assert all(got[k] == f"unique{k} words{k} stand{k} here{k}" for k in range(4))
 
 
+def test_scoring_gradients():
+    """The step's direction against differences of the loss."""
+    net = {k: v.astype(np.float64) for k, v in scoring.start(3).items()}
+    flat, at = scoring.streams(np.array([1, 4, 4, 8, 0, 2, 7]), np.array([4, 3]), 9)
+    loss = lambda n: -scoring.forward(n, flat)[-1][at - scoring.SIDE].mean()
+    now, past = {k: v.copy() for k, v in net.items()}, {k: np.zeros(v.shape) + 1e-12 for k, v in net.items()}
+    scoring.step(now, past, flat)
+    for name, v in net.items():
+        for i in list(np.ndindex(v.shape))[:: max(1, v.size // 9)]:
+            up, down = ({k: w.copy() for k, w in net.items()} for _ in range(2))
+            up[name][i] += 1e-5
+            down[name][i] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            assert abs(np.sqrt(max(0, past[name][i] - 1e-12)) - abs(slope)) < 1e-4
+            assert abs(slope) < 1e-4 or (now[name][i] - v[i]) * slope < 0
+
+
 def test_scoring(docs, rows):
     token = scoring.vocabulary(docs)
     net = scoring.train(docs, token, rounds=1)
     got = {r["doc_id"]: r for r in scoring.scores(docs, net, token).collect()}
     assert got[80]["n_tokens"] == 0 and got[80]["mean_log_likelihood"] is None and got[84]["n_tokens"] == 9000
-    untrained = scoring.log_probabilities(scoring.start(), token[scoring.Cells().of(prose(60, 1))]).mean()
+    untrained = scoring.log_probabilities(scoring.start(), token[scoring.Words().hashed(prose(60, 1))]).mean()
     assert got[1]["mean_log_likelihood"] > untrained
-    ctx, t = scoring.contexts(np.arange(5)), np.arange(5)
-    _, a, _ = scoring.forward(net, ctx, t)
-    assert np.allclose(np.exp(a).sum(1), 1, atol=1e-4)
+    whole = [np.exp(scoring.log_probabilities(net, np.array([5, 7, t, 9, 2]))[2]) for t in range(token.groups**2)]
+    assert abs(sum(whole) - 1) < 1e-4
+    texts = [prose(60, 1), "", prose(9, 2)]
+    words = [token[scoring.Words().hashed(t)] for t in texts]
+    together = scoring.log_probabilities(net, np.concatenate(words), np.array([len(w) for w in words]))
+    assert np.allclose(together, np.concatenate([scoring.log_probabilities(net, w) for w in words]), atol=1e-4)
     assert scoring.scores(docs.limit(0), scoring.train(docs.limit(0), token), token).count() == 0
 
 
-@pytest.mark.parametrize("known", [1500, 1 << 18])
+@pytest.mark.parametrize("known", [1300, 1 << 21])
 def test_scoring_tells_rare_words_apart(spark, monkeypatch, known):
     """Every word of the corpus has a probability of its own, they add up to 1, and joined words score as known ones."""
     monkeypatch.setattr(scoring, "KNOWN", known)
@@ -259,12 +279,12 @@ def test_scoring_tells_rare_words_apart(spark, monkeypatch, known):
     one = spark.createDataFrame([(k, f"w{k}") for k in range(6000)], "doc_id long, text string")
     got = {r["doc_id"]: r["log_likelihood"] for r in scoring.scores(one, net, token).collect()}
     assert abs(sum(np.exp(v) for v in got.values()) - 1) < 1e-4
-    own = {k: token[scoring.Cells().of(f"w{k}")][0] for k in range(5000, 6000)}
+    own = {k: token[scoring.Words().hashed(f"w{k}")][0] for k in range(5000, 6000)}
     mates = [k for k in range(5001, 6000) if own[k] == own[5000]]
     assert mates and all(abs(got[5000] - got[k] - np.log(5)) < 1e-5 for k in mates)
     whole = {r["doc_id"]: r for r in scoring.scores(table, net, token).collect()}
     assert len(whole) == 51 and whole[None]["n_tokens"] == 0 and whole[None]["mean_log_likelihood"] is None
-    h = scoring.Cells().of(" ".join(words[7::50]))
+    h = scoring.Words().hashed(" ".join(words[7::50]))
     count = [n[w] for w in words[7::50]]
     heads = token[h] < token.groups**2 - token.rare
     share = np.where(heads, 0, np.log(np.array(count) / token.totals[h % token.rare]))
