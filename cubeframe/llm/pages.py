@@ -2,10 +2,13 @@
 
 All blocks of a host's pages, those of articles too, are set end to end, page after page; the suffix array of these
 streams shows on how many pages each run of ``RUN`` tokens stands. A host's pages are taken in groups of about
-``CROWD``, dealt by a hash, so that no host is one task; groups of one host exchange the counts of their runs, so runs
-are counted over the whole host. Blocks in menus, footers, adverts and the like go. Runs on half of a host's pages, and
-on ``COMMON`` at least, go everywhere, in articles too. Blocks outside articles also go where runs on two pages cover
-half of them. What is left is the text.
+``CROWD``, dealt by a hash, so that no host is one task. Groups of one host exchange the page counts of their runs, so
+runs are counted over the whole host; a group keeps to itself what does not matter there, runs within articles on a
+single one of its pages (a run on half of a host's pages stands on a single one of 256 once in 2**247 times). Blocks in menus, footers, adverts and the like go. Runs on half of a host's pages, and on
+``COMMON`` at least, go everywhere, in articles too. Blocks outside articles also go where runs that stand outside the
+articles of two pages cover half of them. What is left is the text.
+
+Texts move once, compressed; those of hosts with several groups once more.
 
 Defined results: null or empty html gives an empty text; broken mark-up is read as far as it goes; a null or odd url
 is a host of its own name; repeated rows each get a row, and copies of one page (equal page_id, url and html) count
@@ -15,7 +18,9 @@ as one page; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import html
+import pickle
 import re
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,6 +30,9 @@ from pyspark.sql import functions as F
 from cubeframe.llm.common import WordHash, materialise, mix
 
 CROWD, RUN, COMMON = 256, 6, 4
+#: Groups of so many pages tell the others all of their runs.
+FEW = 8
+COLUMNS = ["page_id", "url", "text", "crowd", "host", "pages", "key", "blob", "run", "n", "out"]
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[/!?]?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?][^>]*>|[^<]+|<",
     re.S | re.I,
@@ -36,12 +44,22 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT = frozenset("nav footer aside form menu button dialog head".split())
 MAIN = frozenset("article main".split())
-#: Words of class, id and role names that mark what is no part of an article.
-BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adbox|adslot|advert|advertisement|adverts|sponsor|sponsored|promo|promotion|banner|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|masthead|topbar|header|footer|foot|cookie|cookies|cookie-bar|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|respond|reply|replies|disqus|pagination|pager|toolbar|hidden|legal|copyright)(?:$|[\s_-])",
-    re.I,
+#: Words that mark what is no part of an article, as any part of a class, id or role name ("site-footer").
+BAD = frozenset(
+    "advert adverts advertisement sponsored promo banner sidebar widget menu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer cookie cookies consent gdpr popup modal newsletter subscribe signup comments comment commentlist respond replies disqus pagination pager toolbar".split()
 )
-GOOD = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body-text)(?:$|[\s_-])", re.I)
+#: Words that do so as a whole name only: as parts they name much else ("social-history", "ad-hoc").
+BAD_ALONE = frozenset("ad ads adbox adslot header notice notices share sharing login copyright sponsor related recommended".split())
+GOOD = frozenset("article main content post entry story".split())
+INLINE = frozenset("html body b i em strong span a u s small sub sup code font abbr cite q mark time".split())
+
+
+def names_of(attributes: str) -> list[str]:
+    return [n.lower() for a in NAMES.findall(attributes) for n in "".join(a).split()]
+
+
+def marked(names: list[str], words: frozenset, alone: frozenset = frozenset()) -> bool:
+    return any(n in alone or not words.isdisjoint(re.split("[-_]+", n)) for n in names)
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
@@ -84,7 +102,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             if name == "p":
                 while stack and stack[-1][0] not in BLOCK - {"p"} and any(n == "p" for n, _ in stack):
                     stack.pop()
-            given = " ".join(next(x for x in g if x is not None) if any(x is not None for x in g) else "" for g in ((a or None, b or None, c or None) for a, b, c in NAMES.findall(tag[3])))
+            names = names_of(tag[3]) if tag[3] else []
             inside = any(m == 2 for _, m in stack)
             mark = 1
             if name in MAIN:
@@ -92,9 +110,9 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 stack[:] = [(n, 1 if k == 0 and n in OUT else k) for n, k in stack]  # an article ends a menu left open
             elif name in OUT or (name == "header" and not inside):
                 mark = 0
-            elif name not in ("html", "body", "p", "b", "i", "em", "strong", "span", "a", "h1", "h2") and BAD.search(given):
+            elif names and name not in INLINE and marked(names, BAD, BAD_ALONE):
                 mark = 0
-            elif name in ("div", "section", "td") and GOOD.search(given):
+            elif names and name in ("div", "section", "td") and marked(names, GOOD):
                 mark = 2
             stack.append((name, mark))
     flush()
@@ -145,68 +163,97 @@ class Runs:
         return [on[b + 1 : b + s - 1] for b, s in zip(self.begin, self.sizes, strict=True)]
 
 
-def crowd_runs(crowd: pd.DataFrame) -> Runs:
+def crowd_runs(pages: list[tuple[list[str], list[int]]]) -> tuple[Runs, Runs]:
+    """The runs of all blocks of the pages, and of the blocks outside articles; ``pages``: (texts, kinds)."""
     seen = WordHash()
-    streams, pages_ = [], []
-    for k, texts in enumerate(crowd["texts"]):
-        for t in texts:
-            words = t.encode("utf-8", "surrogatepass").split(b" ")
-            streams.append(np.fromiter(map(seen.__getitem__, words), np.uint64, len(words)))
-            pages_.append(k)
-    return Runs(streams, pages_)
+    streams = [[(np.fromiter(map(seen.__getitem__, w), np.uint64, len(w)), k) for w, k in zip((t.encode("utf-8", "surrogatepass").split(b" ") for t in texts), kinds, strict=True)] for texts, kinds in pages]
+    whole = Runs([s for page in streams for s, _ in page], [n for n, page in enumerate(streams) for _ in page])
+    return whole, Runs([s for page in streams for s, k in page if k < 2], [n for n, page in enumerate(streams) for _, k in page if k < 2])
+
+
+def kept(pages: list[tuple[list[str], list[int]]], whole: Runs, outside: Runs, size: int) -> list[str]:
+    """The text of each page of a host of ``size`` pages."""
+    often, twice = iter(whole.covered(max(COMMON, -(-size // 2)))), iter(outside.covered(2))
+    out = []
+    for texts, kinds in pages:
+        some = []
+        for t, kind in zip(texts, kinds, strict=True):
+            gone, again = next(often), next(twice) if kind < 2 else None
+            if kind == 2 or (kind == 1 and 2 * again.sum() < len(again)):
+                some.append(" ".join(w for w, g in zip(t.split(" "), gone, strict=True) if not g) if gone.any() else t)
+        out.append("\n\n".join(t for t in some if t))
+    return out
+
+
+def _pack(page: tuple[list[str], list[int]]) -> bytes:
+    import zstandard
+
+    return zstandard.compress(pickle.dumps(page, 5), 3)
+
+
+def _unpack(blob: bytes) -> tuple[list[str], list[int]]:
+    import zstandard
+
+    return pickle.loads(zstandard.decompress(blob))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each page."""
-    key = F.xxhash64("page_id", "url", "html").alias("_key")
+    key = F.xxhash64("page_id", "url", "html").alias("key")
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")), F.lower("url"), F.lit("")).alias("host")
-    kinds = {f: pages.schema[f].dataType.simpleString() for f in ("page_id", "url")}
+    kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host, key)
+    hosts = rows.groupBy("host").agg(F.countDistinct("key").alias("pages")).where(F.col("pages") > CROWD)  # at most a CROWD-th of the pages
+    crowds = F.coalesce(F.ceil(F.col("pages") / CROWD), F.lit(1))
+    crowd = F.xxhash64("host", F.pmod(F.xxhash64("key"), crowds)).alias("crowd")
+    dealt = rows.join(F.broadcast(hosts), "host", "left").select("page_id", "url", "html", "host", "pages", "key", crowd)
 
     def parse(batches):
         for pdf in batches:
-            got = [blocks(p) for p in pdf["html"]]
-            yield pdf.drop(columns="html").assign(texts=[[t for t, _ in b] for b in got], kinds=[[k for _, k in b] for b in got])
+            blobs = [_pack((list(map(itemgetter(0), b)), list(map(itemgetter(1), b)))) for b in map(blocks, pdf["html"])]
+            yield pdf.drop(columns="html").assign(blob=blobs)
 
-    parsed = rows.mapInPandas(parse, "page_id string, url string, host string, _key long, texts array<string>, kinds array<int>")
-    parsed = materialise(parsed, "pages")
-    hosts = parsed.groupBy("host").agg(F.countDistinct("_key").alias("pages")).where(F.col("pages") > CROWD)  # at most a CROWD-th of the pages
-    crowds = F.coalesce(F.ceil(F.col("pages") / CROWD), F.lit(1))
-    crowd = F.xxhash64("host", F.pmod(F.xxhash64("_key"), crowds)).alias("crowd")
-    dealt = parsed.join(F.broadcast(hosts), "host", "left").select("page_id", "url", "host", "pages", "_key", "texts", "kinds", crowd)
-
-    def counts(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = pdf.drop_duplicates("_key") if pd.notna(pdf["pages"].iloc[0]) else pdf[:0]  # a host of one crowd has none to ask
-        runs = crowd_runs(once)
-        return pd.DataFrame({"crowd": pdf["crowd"].iloc[0], "run": of_host(runs, pdf), "n": runs.pages})
-
-    def of_host(runs: Runs, pdf: pd.DataFrame) -> np.ndarray:
-        return mix(runs.keys ^ np.uint64(WordHash()[pdf["host"].iloc[0].encode("utf-8", "surrogatepass")])).view(np.int64)
-
-    sent = dealt.groupBy("crowd").applyInPandas(counts, "crowd long, run long, n int")
-    whole = sent.groupBy("run").agg(F.sum("n").alias("n"), F.collect_list("crowd").alias("in")).where(F.size("in") > 1)
-    whole = whole.select(F.explode("in").alias("crowd"), "run", "n")  # to each crowd the runs it shares with others
-
-    def main(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        once = pdf.drop_duplicates("_key")
-        out, at = {}, 0
-        if len(once):
-            runs, size = crowd_runs(once), once["pages"].iloc[0]
-            if len(others):
-                total = pd.Series(others["n"].to_numpy(), others["run"].to_numpy()).reindex(of_host(runs, once)).to_numpy()
-                runs.pages = np.where(np.isnan(total), runs.pages, total)
-            twice, often = runs.covered(2), runs.covered(max(COMMON, -(-int(size if pd.notna(size) else len(once)) // 2)))
-        for key, texts, marks in zip(once["_key"], once["texts"], once["kinds"], strict=True):
-            kept = []
-            for k, (t, m) in enumerate(zip(texts, marks, strict=True), at):
-                if m == 2 or (m == 1 and 2 * twice[k].sum() < len(twice[k])):
-                    kept.append(" ".join(w for w, c in zip(t.split(" "), often[k], strict=True) if not c) if often[k].any() else t)
-            at += len(texts)
-            out[key] = "\n\n".join(t for t in kept if t)
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": pdf["_key"].map(out).astype(object)})
-
-    found = dealt.groupBy("crowd").cogroup(whole.groupBy("crowd")).applyInPandas(main, "page_id string, url string, text string")
-    return found.select(F.col("page_id").cast(kinds["page_id"]).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    def once(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The group's distinct pages, in an order that no shuffle changes."""
+        return pdf.drop_duplicates("key").sort_values("key")
+
+    def named(runs: Runs, host: str) -> np.ndarray:
+        return mix(runs.keys ^ np.uint64(WordHash()[host.encode("utf-8", "surrogatepass")])).view(np.int64)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a host of one group the texts; else the pages as they are and the counts of the group's runs."""
+        some = once(pdf)
+        found = [_unpack(b) for b in some["blob"]]
+        whole, outside = crowd_runs(found)
+        if pd.isna(some["pages"].iloc[0]):
+            text = dict(zip(some["key"], kept(found, whole, outside, len(some)), strict=True))
+            return pdf[["page_id", "url"]].assign(text=pdf["key"].map(text)).assign(**dict.fromkeys(COLUMNS[3:]))
+        counts = pd.concat([pd.DataFrame({"run": named(outside, some["host"].iloc[0]), "out": outside.pages}).set_index("run"), pd.DataFrame({"run": named(whole, some["host"].iloc[0]), "n": whole.pages}).set_index("run")], axis=1).reset_index(names="run")
+        counts = counts[(counts["n"] > 1) | counts["out"].notna() | (len(some) <= FEW)].fillna(0).assign(crowd=pdf["crowd"].iloc[0])
+        empty = {True: [None] * len(pdf), False: [None] * len(counts)}
+        return pd.DataFrame({c: pd.Series([x for f in (pdf, counts) for x in (f[c] if c in f else empty[f is pdf])], dtype=object) for c in COLUMNS})
+
+    def finish(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"page_id": [], "url": [], "text": []})
+        some = once(pdf)
+        found = [_unpack(b) for b in some["blob"]]
+        whole, outside = crowd_runs(found)
+        for runs, column in ((whole, "n"), (outside, "out")):
+            total = pd.Series(shared[column].to_numpy(), shared["run"].to_numpy()).reindex(named(runs, some["host"].iloc[0])).to_numpy(float)
+            runs.pages = np.where(np.isnan(total), runs.pages, total)
+        text = dict(zip(some["key"], kept(found, whole, outside, int(some["pages"].iloc[0])), strict=True))
+        return pdf[["page_id", "url"]].assign(text=pdf["key"].map(text))
+
+    parsed = dealt.mapInPandas(parse, "page_id string, url string, host string, pages long, key long, crowd long, blob binary")
+    done = materialise(parsed.groupBy("crowd").applyInPandas(settle, "page_id string, url string, text string, crowd long, host string, pages long, key long, blob binary, run long, n int, out int"), "crowds")
+    counts = done.where("run IS NOT NULL").select("crowd", "run", "n", "out")
+    totals = counts.groupBy("run").agg(F.sum("n").alias("n"), F.sum("out").alias("out"), F.count(F.lit(1)).alias("crowds")).where("crowds > 1")
+    shared = counts.select(F.col("crowd").alias("to"), "run").join(totals.select("run", "n", "out"), "run")
+    open_ = done.where("blob IS NOT NULL").select("crowd", "page_id", "url", "host", "pages", "key", "blob")
+    found = open_.groupBy("crowd").cogroup(shared.groupBy("to")).applyInPandas(finish, "page_id string, url string, text string")
+    out = done.where("text IS NOT NULL").select("page_id", "url", "text").union(found)
+    return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:

@@ -226,8 +226,12 @@ def test_pages(spark):
         (11, None, None),
         (12, "::bad::", ""),
         (12, "::bad::", ""),
+        (13, "http://x.org/a", '<div id="search">We searched far and wide.</div><div class="social-history">It was long ago.</div><p class="ad">Buy now a thing</p><div class="site-footer">us</div>'),
+        (14, None, "<article><p>" + prose(9000, 4) + "</p></article>"),
     ]
     got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+    assert got[13] == "We searched far and wide.\n\nIt was long ago." and got[14] == prose(9000, 4)
+    assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string, key int, host int")).count() == 0
     assert got[10] == "A & b\n\none two three\n\nfour five" and got[11] == got[12] == ""
     assert all(got[k] == f"unique{k} words{k} stand{k} here{k}" for k in range(4))
 
