@@ -18,9 +18,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a new one where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cubeframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -29,15 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, so that nothing before it runs twice.
 
-    Executors may be lost at any time: the files hold everything that later steps need. They go when the
-    driver's JVM ends.
+    Executors may be lost at any time: the files hold everything that later steps need. They go with :func:`discard`, or
+    when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cubeframe_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing will read again."""
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(df._cubeframe_path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class WordHash(dict):

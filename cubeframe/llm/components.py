@@ -1,23 +1,29 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps.
+
+Each step writes what every node points to, then joins it with the edges. Both sides of that join are plain shuffles of
+files, so that adaptive execution can split a node with very many edges over several tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeframe.llm.common import materialise
+from cubeframe.llm.common import discard, materialise
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, name: str) -> DataFrame:
     """large-star: larger neighbours go to the least neighbour; small-star: smaller neighbours and the node itself do."""
     both = edges if small else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
     joined = both.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
     if small:  # every edge points to the smaller node
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.where("v < u AND u > m").select("u", F.col("m").alias("v")))
-    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        out = joined.where("v > u OR u > m").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v"))
+    out = materialise(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    discard(least)
+    return out
 
 
 def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -31,5 +37,7 @@ def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == last or not seen[0]:
             return now
-        last = seen
-        now = materialise(_star(_star(now, small=False), small=True), name)  # one job; the first step's exchange is shared
+        last, large = seen, _star(now, False, name)
+        discard(now)
+        now = _star(large, True, name)
+        discard(large)

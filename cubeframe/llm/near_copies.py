@@ -6,8 +6,11 @@ share a band are compared: first on their signatures, then on their full shingle
 connected need no comparison, so a group of thousands of copies costs about one comparison for each copy. Large
 groups are cut into chunks; each pair of chunks is a task of its own.
 
-Defined results: null or blank texts have empty sets and are linked with nothing; a null doc_id is never smallest
-while others are there; rows with equal doc_id each get a row; other columns are ignored.
+Defined results: null or blank texts have empty sets and are linked with nothing; rows with equal doc_id are documents
+of their own, each compared by its own text; a null doc_id takes part like any other and is a component's id only where
+no row of it has another; other columns are ignored by :func:`near_duplicates` and kept by :func:`keep_one`, which keeps
+one row of each group: of the least doc_id, then the least hash of the text, then of all columns; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeframe.llm.common import WordHash, join_on, materialise, shingle_hashes
+from cubeframe.llm.common import WordHash, discard, join_on, materialise, shingle_hashes, unused
 from cubeframe.llm.components import connected_components
 
 BANDS, ROWS = 40, 6
@@ -60,7 +63,7 @@ def shingle_sets(texts, size: int, seen: WordHash):
 
 
 def classes(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), bands (packed 64-bit keys)."""
+    """doc_id, n_shingles, digest (null for an empty set), bands (packed 64-bit keys), hashed (a hash of the text)."""
 
     def of(batches):
         seen = WordHash()
@@ -69,9 +72,11 @@ def classes(documents: DataFrame, size: int) -> DataFrame:
             for s in shingle_sets(pdf["text"], size, seen):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 out.append((len(s), digest, bands(signature(s)).tobytes() if len(s) else None))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"]} | dict(zip(("n_shingles", "digest", "bands"), zip(*out, strict=True), strict=True)) if out else {k: [] for k in ("doc_id", "n_shingles", "digest", "bands")})
+            yield pd.concat([pdf[["doc_id", "hashed"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_shingles", "digest", "bands"])], axis=1)
 
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(of, "doc_id string, n_shingles long, digest binary, bands binary").withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("hashed"), "text")
+    out = rows.mapInPandas(of, "doc_id string, hashed long, n_shingles long, digest binary, bands binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
 def _exact(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -107,16 +112,15 @@ def compare(ids: list, shingles, sizes: np.ndarray, keys: np.ndarray, labels: li
 
 
 def _verified(tasks: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
-    """(u, v) links within the tasks' groups of rows; tasks: doc_id, comp, label, main, a, b.
+    """(u, v) links within the tasks' groups of classes; tasks: node, comp, label, main, a, b.
 
-    Two rows are compared unless both are ``main``.
+    Two classes are compared unless both are ``main``.
     """
-    rows = tasks.join(texts, "doc_id").select("doc_id", "text", "n_shingles", "bands", "comp", "label", "main", "a", "b")
-    kind = tasks.schema["doc_id"].dataType.simpleString()
+    rows = tasks.join(texts, "node").select("node", "text", "n_shingles", "bands", "comp", "label", "main", "a", "b")
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+        pdf = pdf.drop_duplicates("node").sort_values("node")
         seen, sets, of = WordHash(), {}, pdf["text"].tolist()
 
         def shingles(k: int) -> np.ndarray:
@@ -125,10 +129,10 @@ def _verified(tasks: DataFrame, texts: DataFrame, size: int, share: int) -> Data
             return sets[k]
 
         keys = np.frombuffer(b"".join(pdf["bands"]), np.uint64).reshape(-1, BANDS)
-        links = compare(pdf["doc_id"].tolist(), shingles, pdf["n_shingles"].to_numpy(), keys, pdf["label"].tolist(), ~pdf["main"].to_numpy(bool), share)
+        links = compare(pdf["node"].tolist(), shingles, pdf["n_shingles"].to_numpy(), keys, pdf["label"].tolist(), ~pdf["main"].to_numpy(bool), share)
         return pd.DataFrame(stars(links), columns=["u", "v"])
 
-    return rows.repartition(parts, "comp", "a", "b").groupBy("comp", "a", "b").applyInPandas(block, f"u {kind}, v {kind}")
+    return rows.repartition(parts, "comp", "a", "b").groupBy("comp", "a", "b").applyInPandas(block, "u long, v long")
 
 
 def stars(links: list[tuple]) -> list[tuple]:
@@ -149,7 +153,7 @@ def stars(links: list[tuple]) -> list[tuple]:
 
 def _met(groups: DataFrame) -> DataFrame:
     """A task for each pair of a group's chunks of which one has a row that is not ``main``."""
-    cols = ["doc_id", "comp", "label", "main"]
+    cols = ["node", "comp", "label", "main"]
     odd = groups.where("NOT main").select("comp", F.col("chunk").alias("odd")).distinct()
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("odd")
     hosts = groups.where("NOT main").select(*cols, "chunk", every)
@@ -157,53 +161,69 @@ def _met(groups: DataFrame) -> DataFrame:
     return guests.union(hosts).select(*cols, F.least("chunk", "odd").alias("a"), F.greatest("chunk", "odd").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and digest: one row for each document.
+def _classed(documents: DataFrame, shingle: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' rows (doc_id, hashed, n_shingles, digest), and digest, component_id, chosen for each class.
 
-    Linked: 100 * common shingles >= ``share`` * all shingles of both.
+    ``chosen``: least (doc_id, hashed) of the component, of a doc_id if it has one.
     """
     docs = documents.select("doc_id", "text")
     rows = materialise(classes(docs, shingle), "classes")
-    whole = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"))
-    whole = materialise(whole, "reps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "hashed"))
+    whole = rows.where("digest IS NOT NULL").groupBy("digest").agg(first.alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"))
+    whole = materialise(whole.withColumn("node", F.monotonically_increasing_id()), "reps")  # numbers that stay: they are in the files
     longs = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.conv(F.hex(F.substring(F.col("bands"), k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    keys = whole.where("rep IS NOT NULL").select("rep", F.explode(longs).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
-    near = keys.join(buckets, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    keys = whole.select("node", F.explode(longs).alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
+    near = keys.join(buckets, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     comps = connected_components(near, "candidates")
-    comps = comps.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).union(comps.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
+    comps = comps.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(comps.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
     size = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    groups = comps.join(size, "comp").select("doc_id", "comp", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
+    groups = comps.join(size, "comp").select("node", "comp", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     groups = materialise(groups, "groups")
-    texts = docs.join(groups.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    texts = texts.join(whole.select(F.col("rep").alias("doc_id"), "n_shingles", "bands"), "doc_id")
-    texts = materialise(texts, "texts")
-    own = groups.select("doc_id", "comp", F.col("doc_id").alias("label"), F.lit(False).alias("main"), F.col("chunk").alias("a"), F.col("chunk").alias("b"))
+    wanted = whole.join(groups.select("node"), "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.hashed").alias("hashed"), "n_shingles", "bands")
+    texts = join_on(docs.withColumn("hashed", F.xxhash64("text")), wanted, ["doc_id", "hashed"])
+    texts = materialise(texts.dropDuplicates(["node"]).select("node", "text", "n_shingles", "bands"), "texts")
+    own = groups.select("node", "comp", F.col("node").alias("label"), F.lit(False).alias("main"), F.col("chunk").alias("a"), F.col("chunk").alias("b"))
     links = materialise(_verified(own, texts, shingle, share), "links")
     large = groups.where("chunks > 1")
     if not large.isEmpty():
-        labelled = large.join(links.select(F.col("u").alias("doc_id"), F.col("v").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        labelled = large.join(links.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
         links = links.union(materialise(_join_chunks(labelled, texts, shingle, share), "across"))
-    found = connected_components(links, "links").select(F.col("u").alias("rep"), F.col("v").alias("component_id"))
-    to = join_on(whole.select("digest", "rep"), found, ["rep"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.join(to, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "digest")
+    discard(texts)
+    found = connected_components(links, "links")
+    found = found.union(found.select(F.col("v").alias("u"), "v").distinct())  # whoever is linked, with its component
+    reps = whole.select("node", "digest", "rep")
+    linked = materialise(reps.join(found.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node"), "linked")
+    least = materialise(linked.groupBy("comp").agg(F.min("rep").alias("chosen")), "least")
+    to = linked.join(least, "comp").select("digest", "chosen").union(reps.join(linked, "node", "left_anti").select("digest", F.col("rep").alias("chosen")))
+    return rows, to.select("digest", F.col("chosen.doc_id").alias("component_id"), "chosen")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and digest: one row for each document.
+
+    Linked: 100 * common shingles >= ``share`` * all shingles of both.
+    """
+    rows, to = _classed(documents, shingle, share)
+    out = rows.select("doc_id", "n_shingles", "digest").join(to.select("digest", "component_id"), "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "digest")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _join_chunks(labelled: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
-    """Links between chunks of large groups; labelled: doc_id, comp, chunks, chunk, label (the least it is linked with).
+    """Links between chunks of large groups; labelled: node, comp, chunks, chunk, label (the least it is linked with).
 
     First each chunk meets a member of the largest label of each other chunk of its group, which connects most of a
     dense group; then whatever is outside the group's largest label meets every chunk.
     """
-    counted = labelled.groupBy("comp", "label", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
-    pivots = counted.groupBy("comp", "chunk").agg(F.max_by("doc_id", F.struct("n", "doc_id")).alias("doc_id")).select("comp", "doc_id")
-    heads = labelled.join(pivots, ["comp", "doc_id"], "left_semi")
-    meet = heads.select("doc_id", "comp", "label", F.lit(False).alias("main"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("a"))
-    stay = labelled.join(pivots, ["comp", "doc_id"], "left_anti").select("doc_id", "comp", "label", F.lit(True).alias("main"), F.col("chunk").alias("a"))
+    counted = labelled.groupBy("comp", "label", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    pivots = counted.groupBy("comp", "chunk").agg(F.max_by("node", F.struct("n", "node")).alias("node")).select("comp", "node")
+    heads = labelled.join(pivots, ["comp", "node"], "left_semi")
+    meet = heads.select("node", "comp", "label", F.lit(False).alias("main"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("a"))
+    stay = labelled.join(pivots, ["comp", "node"], "left_anti").select("node", "comp", "label", F.lit(True).alias("main"), F.col("chunk").alias("a"))
     first = materialise(_verified(meet.union(stay).withColumn("b", F.col("a")), texts, size, share), "pivots")
-    merged = connected_components(first.union(labelled.select(F.col("doc_id").alias("u"), F.col("label").alias("v"))), "pivoted")
-    now = labelled.drop("label").join(merged.select(F.col("u").alias("doc_id"), F.col("v").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    merged = connected_components(first.union(labelled.select(F.col("node").alias("u"), F.col("label").alias("v"))), "pivoted")
+    now = labelled.drop("label").join(merged.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     now = materialise(now, "labelled")
     most = now.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
     last = _verified(_met(now.join(most, "comp").withColumn("main", F.col("label") == F.col("top"))), texts, size, share)
@@ -211,10 +231,19 @@ def _join_chunks(labelled: DataFrame, texts: DataFrame, size: int, share: int) -
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:
-    """The documents, all columns, one row for each group of near-duplicates: that of the least doc_id."""
-    found = near_duplicates(documents, shingle, share).where("kept").select("doc_id", "digest").distinct()
-    kept = documents.join(found.select("doc_id"), documents["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept
+    """The documents, all columns, one row for each group of near-duplicates; texts with empty sets all stay."""
+    rows, to = _classed(documents, shingle, share)
+    at, n = unused(documents, "hashed"), unused(documents, "rows")
+    own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "hashed")
+    of = rows.join(to.select("digest", "chosen"), "digest", "left").where(F.col("digest").isNull() | (own == F.col("chosen")))
+    # rows that are equal in doc_id and text are told apart by their other columns: of a chosen one, one stays
+    some = of.groupBy("doc_id", F.col("hashed").alias(at)).agg(F.when(F.max("digest").isNull(), 1).otherwise(F.count(F.lit(1))).alias(n))
+    kept = join_on(documents.withColumn(at, F.xxhash64("text")), some, ["doc_id", at])
+    several = kept.where(F.col(n) > 1)
+    order = unused(kept, "order")
+    first = Window.partitionBy("doc_id", at).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in documents.columns]))
+    one = several.withColumn(order, F.row_number().over(first)).where(F.col(order) == 1)
+    return kept.where(F.col(n) == 1).select(*documents.columns).union(one.select(*documents.columns))
 
 
 def op5_near_copies(spark, sf_dir: str) -> DataFrame:

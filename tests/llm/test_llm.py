@@ -69,6 +69,19 @@ def test_near_copies(docs, rows, size, monkeypatch):
     assert near_copies.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    table = [(1, a), (2, b), (2, a + " tail"), (3, b + " more"), (None, a + " x"), (None, c), (None, c + " y"), (7, "z"), (7, "z"), (8, None), (8, None), (None, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(table)], "doc_id long, text string, hashed int")
+    got = sorted(((r["doc_id"] or 0, r["component_id"]) for r in near_copies.near_duplicates(docs, 2).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 2), (2, 1), (3, 2), (0, 1), (0, None), (0, None), (7, 7), (7, 7), (8, 8), (8, 8), (0, None)], key=str)
+    kept = near_copies.keep_one(docs, 2)
+    assert kept.columns == docs.columns
+    rows = {(r["doc_id"], r["text"]): r["hashed"] for r in kept.collect()}
+    assert set(rows) - {(None, c), (None, c + " y")} == {(1, a), (2, b), (7, "z"), (8, None), (None, None)} and rows[(1, a)] == 0
+    assert kept.count() == 7 and len({(None, c), (None, c + " y")} & set(rows)) == 1
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
