@@ -1,19 +1,21 @@
-"""Repeated-passage removal over a prefix-free parse of the corpus.
+"""Repeated-passage removal over a parse of the corpus into phrases with content-defined triggers.
 
-A rolling hash picks trigger strings: the least of those within any ``match`` bytes, so no window is without one. The
-triggers cut each text into overlapping phrases, each with the windows that its trigger stands for. Phrases whose
-trigger occurs in one document only are done. The rest form, by trigger, a dictionary of distinct phrases and a parse
-(document and place of each occurrence). The dictionary's suffixes are sorted by their first ``match`` bytes; equal
-neighbours are equal windows, and with the parse this gives the corpus order in which the least document of each
-window is read off.
+A rolling hash picks trigger strings: the least of those within any ``match`` bytes, so no window is without one (hashes
+of a fixed residue, the usual triggers, leave windows without any in text of low entropy). The triggers cut each text
+into overlapping phrases, each with the windows that its trigger stands for. Phrases whose trigger occurs in one
+document only are done. The rest form, by trigger, a dictionary of distinct phrases and a parse (document and place of
+each occurrence). The dictionary's suffixes are sorted by their first ``match`` bytes; equal neighbours are equal
+windows, and the parse gives the least document of each. A suffix array of the parse itself is left out: it would order
+suffixes beyond a phrase's end, and no window of ``match`` bytes reaches beyond its phrase.
 
 The texts move once, into a table bucketed by text digest; only triggers, shared phrases and removal marks move after
 that. Triggers that many documents share are salted: each salted group settles its own windows and hands on one
-document for each window.
+document for each window. Texts of which there are very many copies are stored once.
 
 Defined results: null counts as empty; texts shorter than ``match`` bytes lose nothing; of equal texts all but the
-least doc_id are removed whole; rows with equal doc_id do not match each other; a null doc_id counts as the greatest;
-other columns are kept by :func:`remove_repeats` and ignored by :func:`repeats`; an empty table gives no rows.
+least doc_id are removed whole; rows with equal doc_id do not match each other, whatever their texts; a null doc_id
+counts as the greatest; other columns are kept by :func:`remove_repeats` and ignored by :func:`repeats`; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,15 +27,19 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeframe.llm.common import materialise, mix
+from cubeframe.llm.common import materialise, mix, unused
 
 MATCH, TRIGGER = 50, 24
 BUCKET_BYTES = 2 << 20
 #: Documents of one trigger that one group settles.
 CROWD = 1500
+#: Of texts with more copies, at most COPIES and one for each COPIES in all, only the first is stored.
+COPIES = 10_000
+#: Triggers that a bucket sends in one row, at least, on average.
+TOGETHER = 64
 _BASE, _WORDS = 0x9E3779B97F4A7C15, -(-MATCH // 8)
 
 
@@ -99,19 +105,30 @@ def _split(key: np.ndarray, parts: int):
 
 
 def _stored(pdf: pd.DataFrame):
-    """(doc_id, text) of the distinct texts of a bucket, each with its least doc_id."""
+    """(number, doc_id, digest, text) of the distinct texts of a bucket, each with its least doc_id, in a fixed order."""
     import zstandard
 
-    pdf = pdf.sort_values("doc_id").drop_duplicates("digest")
-    for doc_id, digest, z in zip(pdf["doc_id"].tolist(), pdf["digest"], pdf["z"], strict=True):
-        yield doc_id, digest, zstandard.decompress(z)
+    pdf = pdf.sort_values(["doc_id", "digest"]).drop_duplicates("digest")
+    for k, (doc_id, digest, z) in enumerate(zip(pdf["doc_id"].tolist(), pdf["digest"], pdf["z"], strict=True)):
+        yield k, doc_id, digest, zstandard.decompress(z)
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
 
 def _store(documents: DataFrame) -> tuple[DataFrame, int]:
     """The texts, once for each digest and task, in a table bucketed by ``src``; and the number of buckets."""
     spark = documents.sparkSession
-    total = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    digest = F.unhex(F.md5("text"))
+    copies = documents.where("text IS NOT NULL").groupBy(digest.alias("same")).agg(F.count(F.lit(1)).alias("n"), F.min(_key()).alias("least"), F.max(F.octet_length("text")).alias("size"))
+    copies = materialise(copies, "copies")
+    n, total = copies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    hot = copies.where(F.col("n") > max(COPIES, n // COPIES)).select("same", "least")  # at most COPIES rows
     parts = int(max(8, total / (BUCKET_BYTES * max(1.0, (total / (1 << 30)) ** (1 / 3)))))
+    most = "spark.sql.sources.bucketing.maxBuckets"
+    if parts > int(spark.conf.get(most, "100000")):
+        spark.conf.set(most, str(parts))
 
     def of(batches):
         import zstandard
@@ -127,8 +144,9 @@ def _store(documents: DataFrame) -> tuple[DataFrame, int]:
                     out.append((int.from_bytes(digest[:6], "big") % parts, doc_id, digest, zstandard.compress(text, 1)))
             yield pd.DataFrame(out, columns=["src", "doc_id", "digest", "z"])
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id")
-    rows = documents.where("text IS NOT NULL").select(key, "text").mapInPandas(of, "src int, doc_id long, digest binary, z binary")
+    rows = documents.where("text IS NOT NULL").select(_key().alias("doc_id"), "text")
+    rows = rows.join(F.broadcast(hot), digest == F.col("same"), "left").where("least IS NULL OR least = doc_id").select("doc_id", "text")
+    rows = rows.mapInPandas(of, "src int, doc_id long, digest binary, z binary")
     name = f"passages_{uuid.uuid4().hex}"
     rows.repartition(parts, "src").write.bucketBy(parts, "src").format("parquet").saveAsTable(name)
     atexit.register(_drop, spark, name)
@@ -140,11 +158,12 @@ def _drop(spark, name: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _shared_triggers(texts: DataFrame, parts: int) -> DataFrame:
+def _shared_triggers(texts: DataFrame, buckets: int) -> DataFrame:
     """(src, blob): the keys of the bucket's triggers that several texts have, with the number of texts."""
+    parts = min(buckets, max(8, int(BUCKET_BYTES * max(1.0, buckets / 512) ** 0.5 / 14 / TOGETHER)))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.unique(phrases(text)[0]) for _, _, text in _stored(pdf)]
+        keys = [np.unique(phrases(text)[0]) for *_, text in _stored(pdf)]
         key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, int))
         out = []
         for part, rows in _split(key, parts):
@@ -201,7 +220,7 @@ def _corpus_order(buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _marks(texts: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
-    """(src, blob): (doc_id, first byte, end) of what is to go, by bucket."""
+    """(src, blob): (number of the text, first byte, end) of what is to go, by bucket."""
 
     def send(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(known) or not len(pdf):
@@ -211,30 +230,30 @@ def _marks(texts: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         cols, bufs = [], []
-        for doc_id, _, text in _stored(pdf):
+        for k, doc_id, _, text in _stored(pdf):
             key, first, count = phrases(text)
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             use = np.flatnonzero(keys[at] == key)
             if len(use):
                 salts = -(-n[at[use]] // CROWD)
                 salt = int(mix(np.array([doc_id], np.int64).view(np.uint64))[0] >> np.uint64(8)) % salts
-                cols.append((key[use], salt, salts > 1, np.full(len(use), doc_id), first[use], count[use]))
+                cols.append((key[use], salt, salts > 1, np.full(len(use), doc_id), np.full(len(use), k), first[use], count[use]))
                 bufs += [text[a : a + c + MATCH - 1] for a, c in zip(first[use].tolist(), count[use].tolist(), strict=True)]
         if not cols:
             return pd.DataFrame({k: [] for k in ("part", "src", "blob")})
-        key, salt, hot, doc, first, count = (np.concatenate(c) for c in zip(*cols, strict=True))
+        key, salt, hot, doc, who, first, count = (np.concatenate(c) for c in zip(*cols, strict=True))
         out = []
         for part, rows in _split(mix(key + salt.astype(np.uint64) * np.uint64(_BASE)), parts):
             rows = rows[np.argsort(key[rows], kind="stable")]
-            out.append((part, int(pdf["src"].iloc[0]), _pack(key[rows], salt[rows].astype("<u4"), hot[rows], doc[rows], first[rows].astype("<u4"), count[rows].astype("u1"), b"".join(bufs[i] for i in rows))))
+            out.append((part, int(pdf["src"].iloc[0]), _pack(key[rows], salt[rows].astype("<u4"), hot[rows], doc[rows], who[rows].astype("<u4"), first[rows].astype("<u4"), count[rows].astype("u1"), b"".join(bufs[i] for i in rows))))
         return pd.DataFrame(out, columns=["part", "src", "blob"])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [_unpack(b) for b in pdf["blob"]]
         src = np.repeat(pdf["src"].to_numpy(), [len(g[0]) for g in got])
-        key, salt, hot, doc, first, count = (np.concatenate([g[i] for g in got]) for i in range(6))
+        key, salt, hot, doc, who, first, count = (np.concatenate([g[i] for g in got]) for i in range(7))
         first, count = first.astype(np.int64), count.astype(np.int64)
-        text = b"".join(g[6] for g in got)
+        text = b"".join(g[7] for g in got)
         size = count + MATCH - 1
         begin = np.cumsum(size) - size
         # the dictionary: distinct phrases, each with the least document that has it
@@ -265,27 +284,27 @@ def _marks(texts: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
             cut = np.concatenate([[True], (o[1:] != o[:-1]) | (b[1:] != b[:-1] + 1)])
             s = np.flatnonzero(cut)
             e = np.append(s[1:], len(o)) - 1
-            who, lo, hi = o[s], b[s], b[e] + MATCH
-            by = np.argsort(src[who], kind="stable")
-            for rows in np.split(by, np.flatnonzero(np.diff(src[who][by])) + 1):
-                out.append((int(src[who[rows[0]]]), _pack(doc[who[rows]], lo[rows], hi[rows]), None))
+            which, lo, hi = o[s], b[s], b[e] + MATCH
+            by = np.argsort(src[which], kind="stable")
+            for rows in np.split(by, np.flatnonzero(np.diff(src[which][by])) + 1):
+                out.append((int(src[which[rows[0]]]), _pack(who[which[rows]], lo[rows], hi[rows]), None))
         # of a crowded trigger one document stands for each window here; it meets those of the other salted groups
         open_ = np.flatnonzero(~gone & hot[occ] & (lowest[place] == doc[occ]))
         if len(open_):
             windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, MATCH)[start[place[open_]]]).view(f"V{MATCH}").ravel()
             name = np.array([hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in windows], "V16")
             for to, rows in _split(name.view("<u8")[::2].copy(), parts):
-                out.append((to, None, _pack(name[rows], doc[occ[open_[rows]]], byte[open_[rows]], src[occ[open_[rows]]])))
+                out.append((to, None, _pack(name[rows], doc[occ[open_[rows]]], who[occ[open_[rows]]], byte[open_[rows]], src[occ[open_[rows]]])))
         return pd.DataFrame(out, columns=["src", "blob", "open"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, doc, byte, src = (np.concatenate(c) for c in zip(*(_unpack(b) for b in pdf["open"]), strict=True))
+        name, doc, who, byte, src = (np.concatenate(c) for c in zip(*(_unpack(b) for b in pdf["open"]), strict=True))
         group = np.unique(name, return_inverse=True)[1]
         least = np.full(group.max() + 1, (1 << 63) - 1)
         np.minimum.at(least, group, doc)
         late = np.flatnonzero(least[group] < doc)
         late = late[np.argsort(src[late], kind="stable")]
-        out = [(int(src[rows[0]]), _pack(doc[rows], byte[rows], byte[rows] + MATCH)) for rows in np.split(late, np.flatnonzero(np.diff(src[late])) + 1) if len(rows)]
+        out = [(int(src[rows[0]]), _pack(who[rows], byte[rows], byte[rows] + MATCH)) for rows in np.split(late, np.flatnonzero(np.diff(src[late])) + 1) if len(rows)]
         return pd.DataFrame(out, columns=["src", "blob"])
 
     sent = texts.groupBy("src").cogroup(shared.groupBy("src")).applyInPandas(send, "part int, src int, blob binary")
@@ -294,31 +313,38 @@ def _marks(texts: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
     return found.where("blob IS NOT NULL").select("src", "blob").union(late)
 
 
+def whole(text: bytes, gone: np.ndarray) -> str:
+    """What is left, without the characters of which a part is gone."""
+    begin = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)  # of each character
+    torn = np.add.reduceat(gone, begin) > 0 if len(begin) else gone
+    gone = np.repeat(torn, np.diff(np.append(begin, len(text))))
+    return np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "replace")
+
+
 def _cut(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """digest, least doc_id, n_removed, n_spans, kept_sha256, kept (bytes) of every distinct text."""
+    """digest, least doc_id, n_removed, n_spans, kept_sha256, kept (text, null if whole) of every distinct text."""
 
     def cut(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        doc, lo, hi = [], [], []
+        who, lo, hi = [], [], []
         for blob in known["blob"] if len(known) else []:
-            d, a, b = _unpack(blob)
-            doc.append(d), lo.append(a), hi.append(b)
-        doc, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, lo, hi))
-        order = np.argsort(doc, kind="stable")
-        doc, lo, hi = doc[order], lo[order], hi[order]
+            w, a, b = _unpack(blob)
+            who.append(w), lo.append(a), hi.append(b)
+        who, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, lo, hi))
+        order = np.argsort(who, kind="stable")
+        who, lo, hi = who[order], lo[order], hi[order]
         out = []
-        for doc_id, digest, text in _stored(pdf):
-            a, b = np.searchsorted(doc, doc_id, "left"), np.searchsorted(doc, doc_id, "right")
+        for k, doc_id, digest, text in _stored(pdf):
+            a, b = np.searchsorted(who, k, "left"), np.searchsorted(who, k, "right")
             gone = np.zeros(len(text) + 1, np.int64)
-            fits = hi[a:b] <= len(text)  # another text with the same doc_id may be longer
-            np.add.at(gone, lo[a:b][fits], 1)
-            np.add.at(gone, hi[a:b][fits], -1)
+            np.add.at(gone, lo[a:b], 1)
+            np.add.at(gone, hi[a:b], -1)
             gone = np.cumsum(gone)[:-1] > 0
             spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-            out.append((digest, doc_id, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((digest, doc_id, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), whole(text, gone) if spans else None))
         return pd.DataFrame(out, columns=["digest", "least", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.groupBy("src").cogroup(marks.groupBy("src")).applyInPandas(cut, "digest binary, least long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.groupBy("src").cogroup(marks.groupBy("src")).applyInPandas(cut, "digest binary, least long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def _results(documents: DataFrame) -> DataFrame:
@@ -333,7 +359,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.md5("text")).alias("digest"))
     out = rows.join(found, "digest", "left")
-    copy = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) > F.col("least")) & (F.col("n_bytes") >= MATCH)
+    copy = (_key() > F.col("least")) & (F.col("n_bytes") >= MATCH)
     return out.select(
         "doc_id",
         "n_bytes",
@@ -345,13 +371,11 @@ def repeats(documents: DataFrame) -> DataFrame:
 
 def remove_repeats(documents: DataFrame, count_column: str = "n_chars") -> DataFrame:
     """The documents, all columns, ``text`` without repeated passages; torn characters at a cut go, too."""
-    found = _results(documents).where("n_removed > 0 OR least IS NOT NULL").select(F.col("digest").alias("_digest"), F.col("least").alias("_least"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("_kept"))
-    rows = documents.withColumn("_digest", F.unhex(F.md5("text")))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    out = rows.join(materialise(found.where("_digest IS NOT NULL"), "kept"), "_digest", "left")
-    copy = (key > F.col("_least")) & (F.octet_length("text") >= MATCH)
-    whole = F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("�"), F.lit(""))
-    out = out.withColumn("text", F.when(copy, F.lit("")).when(F.col("_kept").isNotNull(), whole).otherwise(F.col("text")))
+    same, least, kept = (unused(documents, c) for c in ("same", "least", "kept"))
+    found = _results(documents).select(F.col("digest").alias(same), F.col("least").alias(least), F.col("kept").alias(kept))
+    out = documents.withColumn(same, F.unhex(F.md5("text"))).join(materialise(found, "kept"), same, "left")
+    copy = (_key() > F.col(least)) & (F.octet_length("text") >= MATCH)
+    out = out.withColumn("text", F.when(copy, F.lit("")).otherwise(F.coalesce(kept, "text")))
     if count_column in documents.columns:
         out = out.withColumn(count_column, F.char_length("text").cast(documents.schema[count_column].dataType))
     return out.select(*documents.columns)

@@ -119,6 +119,34 @@ def test_passages(docs, rows, crowd, monkeypatch):
     assert passages.repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_of_repeated_and_null_ids(spark, monkeypatch):
+    """Texts that share an id do not share their marks, and do not match each other; a genuine U+FFFD stays."""
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 1 << 20)
+    common, other = prose(20, 1), prose(20, 2)
+    table = [(1, common), (2, f"{prose(30, 3)} {common}"), (2, prose(40, 4)), (2, f"{prose(50, 5)}"), (3, f"{other} \ufffd é"), (4, other + " x"), (4, f"y {other}"), (None, f"q {other}"), (None, prose(30, 6)), (5, common), (5, common)]
+    docs = spark.createDataFrame([(*r, "a", "b", "c", k) for k, r in enumerate(table)], "doc_id long, text string, same string, least string, kept string, n_chars int")
+    far = 1 << 62
+    owner: dict = {}
+    for i, text in table:
+        for s in range(len(text.encode()) - 49):
+            w = text.encode()[s : s + 50]
+            owner[w] = min(owner.get(w, far), far if i is None else i)
+    want = []
+    for i, text in table:
+        b, gone = text.encode(), np.zeros(len(text.encode()), bool)
+        for s in range(len(b) - 49):
+            if owner[b[s : s + 50]] < (far if i is None else i):
+                gone[s : s + 50] = True
+        want.append((i, len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in passages.repeats(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = passages.remove_repeats(docs)
+    assert left.columns == docs.columns and left.where("same = 'a' AND least = 'b' AND kept = 'c'").count() == len(table)
+    assert {r["text"] for r in left.where("doc_id = 3").collect()} == {f"{other} \ufffd é"}
+    assert all(r["n_chars"] == len(r["text"]) for r in left.collect())
+    assert passages.whole("aé\ufffdb".encode(), np.array([0, 0, 1, 0, 0, 0, 0], bool)) == "a\ufffdb"
+
+
 def test_decontaminate(spark, docs):
     long = " ".join(prose(9000, 5).split()[100:125])
     items = spark.createDataFrame([(1, long, 0), (2, "one", 0), (3, None, 0), (4, "", 0), (1, long, 0), (5, prose(13, 0), 0)], "item_id long, text string, n_words int")
