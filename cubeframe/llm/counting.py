@@ -2,22 +2,31 @@
 
 A document is a row of pre-tokens with a segment tree over their characters and tokens. An edit descends the tree to
 the pre-tokens it touches, re-cuts these with their neighbours until the old cut is met again, encodes only pre-tokens
-that are new, and updates the sums above them. The count then is the tree's root; nothing else is encoded again.
+that are new, and updates the sums above them: new pre-tokens are dealt to the leaves that held the old ones, so the
+tree keeps its shape; it is built anew (sums only, nothing is encoded) when a leaf has grown to ``FULL``. The count then
+is the tree's root.
 
-Defined results: null counts as empty, with no tokens; edits are clipped to the text; rows with equal doc_id are
-counted each for itself; other columns are ignored; an empty table gives no rows.
+:func:`trees` gives each document's tree as a column (compressed lengths and counts of the leaves' pre-tokens) that can
+be stored; :func:`edited` applies edits to stored trees and gives the new trees, so that later edits start from there.
+
+Defined results: null counts as empty, with no tokens; edits are clipped to the text, null bounds are 0 and the end;
+rows with equal doc_id are counted each for itself; other columns are ignored by :func:`counted` and kept by
+:func:`trees` and :func:`edited`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens in a leaf of the tree.
-LEAF = 32
+from cubeframe.llm.common import unused
+
+#: Pre-tokens in a leaf of a new tree, and in one that is too full.
+LEAF, FULL = 32, 256
 
 
 class Vocabulary:
@@ -52,10 +61,42 @@ class Counted:
         self.vocabulary = vocabulary
         parts = vocabulary.cut(text)
         self.recounted = len(parts)
-        counts = vocabulary.counts(parts)
+        self._deal(parts, vocabulary.counts(parts))
+
+    def _deal(self, parts: list[str], counts: list[int]) -> None:
         self.leaves = [(parts[a : a + LEAF], counts[a : a + LEAF]) for a in range(0, len(parts), LEAF)] or [([], [])]
         self._build()
 
+    def stored(self) -> bytes:
+        """The tree without its text."""
+        import zstandard
+
+        sizes = np.array([len(p) for p, _ in self.leaves], "<u4")
+        lengths = np.array([len(x) for p, _ in self.leaves for x in p], "<u4")
+        counts = np.array([n for _, c in self.leaves for n in c], "<u4")
+        return zstandard.compress(b"".join(x.tobytes() for x in (np.array([len(sizes)], "<u4"), sizes, _bytes_of(lengths), _bytes_of(counts))), 1)
+
+    @classmethod
+    def restored(cls, text: str, tree: bytes, vocabulary: Vocabulary) -> Counted:
+        """The tree of ``text`` as it was stored; nothing is cut or encoded."""
+        import zstandard
+
+        self = cls.__new__(cls)
+        self.vocabulary, self.recounted = vocabulary, 0
+        data = np.frombuffer(zstandard.decompress(tree), np.uint8)
+        n = int(data[:4].view("<u4")[0])
+        sizes = data[4 : 4 + 4 * n].view("<u4").tolist()
+        planes = data[4 + 4 * n :].reshape(2, 4, -1)
+        lengths, counts = (np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes)
+        stops = np.cumsum(lengths).tolist()
+        parts = [text[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        counts, at, self.leaves = counts.tolist(), 0, []
+        for size in sizes:
+            self.leaves.append((parts[at : at + size], counts[at : at + size]))
+            at += size
+        self._build()
+        return self
+
     def _build(self) -> None:
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = [(0, 0)] * (2 * self.width)
@@ -121,21 +162,78 @@ class Counted:
             last, body, stop = last + 1, body + follow, stop + known
         counts = self.vocabulary.counts(parts)
         self.recounted += len(parts)
-        fresh = [(parts[a : a + LEAF], counts[a : a + LEAF]) for a in range(0, len(parts), LEAF)]
-        if len(fresh) == last - first + 1:  # the tree keeps its shape: only the paths above change
-            above = set()
-            for k, leaf in enumerate(fresh, first):
-                self.leaves[k] = leaf
-                self.sums[self.width + k] = self._sum(leaf)
-                above.add((self.width + k) // 2)
-            while above and above != {0}:
-                for k in above:
-                    self.sums[k] = self._above(k)
-                above = {k // 2 for k in above}
-        else:
-            self.leaves[first : last + 1] = fresh
-            self.leaves = self.leaves or [([], [])]
-            self._build()
+        here = last - first + 1
+        each = -(-len(parts) // here)
+        for k in range(here):
+            self.leaves[first + k] = (parts[k * each : (k + 1) * each], counts[k * each : (k + 1) * each])
+        if each >= FULL:
+            self._deal([x for p, _ in self.leaves for x in p], [n for _, c in self.leaves for n in c])
+            return
+        above = set()
+        for k in range(first, last + 1):
+            self.sums[self.width + k] = self._sum(self.leaves[k])
+            above.add((self.width + k) // 2)
+        while above and above != {0}:
+            for k in above:
+                self.sums[k] = self._above(k)
+            above = {k // 2 for k in above}
+
+
+def _bytes_of(values: np.ndarray) -> np.ndarray:
+    """The first bytes of all values, then the second ones and so on: three of four are nearly always 0."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T)
+
+
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """One for each Python worker, so that its later tasks find the words of its earlier ones."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
+EDITS = "array<struct<start int, end int, new string>>"
+
+
+def _changed(doc: Counted, changes) -> None:
+    for e in changes if changes is not None else []:
+        doc.edit(e["start"] or 0, doc.length if e["end"] is None else e["end"], e["new"] or "")
+
+
+def trees(documents: DataFrame, tokenizer: str) -> DataFrame:
+    """The documents, all columns, with tree (binary) and n_tokens."""
+    tree = unused(documents, "made")
+
+    @F.pandas_udf("tree binary, n_tokens long")
+    def of(text: pd.Series) -> pd.DataFrame:
+        from cubeframe.llm import counting  # the module itself: what is sent with the function would be a copy
+
+        made = (counting.Counted(t or "", counting.vocabulary(tokenizer)) for t in text)
+        return pd.DataFrame([(d.stored(), d.tokens) for d in made], columns=["tree", "n_tokens"])
+
+    keep = [c for c in documents.columns if c.lower() not in ("tree", "n_tokens")]
+    return documents.withColumn(tree, of("text")).select(*keep, f"{tree}.tree", f"{tree}.n_tokens")
+
+
+def edited(stored: DataFrame, tokenizer: str) -> DataFrame:
+    """``stored`` (text, tree, n_tokens and others as of :func:`trees`, edits) with text, tree and n_tokens as the edits leave them, and ``recounted``."""
+    found = unused(stored, "found")
+
+    @F.pandas_udf("text string, tree binary, n_tokens long, recounted long")
+    def of(text: pd.Series, tree: pd.Series, edits: pd.Series) -> pd.DataFrame:
+        from cubeframe.llm import counting
+
+        out = []
+        for t, blob, changes in zip(text, tree, edits, strict=True):
+            doc = counting.Counted.restored(t or "", blob, counting.vocabulary(tokenizer))
+            counting._changed(doc, changes)
+            out.append((doc.text(), doc.stored(), doc.tokens, doc.recounted))
+        return pd.DataFrame(out, columns=["text", "tree", "n_tokens", "recounted"])
+
+    keep = [c for c in stored.columns if c.lower() not in ("text", "tree", "n_tokens", "recounted", "edits")]
+    return stored.withColumn(found, of("text", "tree", "edits")).select(*keep, f"{found}.*")
 
 
 def counted(documents: DataFrame, edits: DataFrame | None, tokenizer: str) -> DataFrame:
@@ -148,14 +246,15 @@ def counted(documents: DataFrame, edits: DataFrame | None, tokenizer: str) -> Da
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "edits")
 
     def of(batches):
-        vocabulary = Vocabulary(tokenizer)
+        from cubeframe.llm import counting  # the module itself: what is sent with the function would be a copy
+
+        words = counting.vocabulary(tokenizer)
         for pdf in batches:
             out = []
             for doc_id, text, changes in zip(pdf["doc_id"], pdf["text"], pdf["edits"], strict=True):
-                doc = Counted(text, vocabulary)
+                doc = counting.Counted(text, words)
                 before, parts = doc.tokens, doc.recounted
-                for e in changes if changes is not None else []:
-                    doc.edit(e["start"], e["end"], e["new"] or "")
+                counting._changed(doc, changes)
                 out.append((doc_id, before, parts, doc.tokens, doc.length, doc.recounted - parts))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_pretokens", "edited_tokens", "edited_chars", "recounted"])
 
@@ -164,11 +263,14 @@ def counted(documents: DataFrame, edits: DataFrame | None, tokenizer: str) -> Da
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """All documents, each with three edits: a word put in the middle, a stretch cut out at a quarter, an end added."""
+    """Trees of all documents, each with three edits: a word put in the middle, a stretch cut out at a quarter, an end added."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n = F.coalesce(F.char_length("text"), F.lit(0))
     edit = lambda a, b, new: F.struct(F.floor(a).cast("int").alias("start"), F.floor(b).cast("int").alias("end"), F.lit(new).alias("new"))
-    rows = docs.withColumn("edits", F.array(edit(n / 2, n / 2, " inserted"), edit(n / 4, n / 4 + 12, ""), edit(n + 9, n + 9, " The end.")))
-    return counted(rows, None, str(public_tokenizers.path("byte_bpe_50k.json")))
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    made = trees(docs, path).withColumn("before", F.col("n_tokens"))
+    edits = F.array(edit(n / 2, n / 2, " inserted"), edit(n / 4, n / 4 + 12, ""), edit(n + 9, n + 9, " The end."))
+    out = edited(made.withColumn("edits", edits), path)
+    return out.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), F.char_length("text").cast("long").alias("edited_chars"), "recounted")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeframe.llm.common import LOWER, UPPER, join_on, let, materialise
+from cubeframe.llm.common import LOWER, UPPER, join_on, let, materialise, unused
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window's beginning that the bitmap knows.
@@ -95,6 +95,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: in
 
     ``contaminated``: some word is hit and ``share * n_hit >= n_words``. ``spans``: merged (first word, last word + 1).
     """
+    documents = documents.select("doc_id", "text")
     found = materialise(benchmark_windows(benchmark, window), "windows")
     sizes = sorted(r[0] for r in found.select("size").distinct().collect())  # at most `window` of them
     texts, bits = found.select("size", "hash", "wtext").distinct(), None
@@ -164,17 +165,19 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: in
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The documents, all columns, without those that are contaminated."""
-    bad = scan(documents, benchmark, window, share).where("contaminated").select("doc_id", "_text").distinct()
-    return join_on(documents.withColumn("_text", F.xxhash64("text")), bad, ["doc_id", "_text"], "left_anti").select(*documents.columns)
+    at = unused(documents, "_text")
+    bad = scan(documents, benchmark, window, share).where("contaminated").select("doc_id", F.col("_text").alias(at)).distinct()
+    return join_on(documents.withColumn(at, F.xxhash64("text")), bad, ["doc_id", at], "left_anti").select(*documents.columns)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The documents, all columns, ``text`` rebuilt from the words that are not hit where a document has hits."""
-    hit = scan(documents, benchmark, window).where("n_hit > 0").select("doc_id", "_text", F.col("spans").alias("_spans")).dropDuplicates(["doc_id", "_text"])
-    joined = join_on(documents.withColumn("_text", F.xxhash64("text")), hit, ["doc_id", "_text"], "left")
+    at, cut = unused(documents, "_text"), unused(documents, "_spans")
+    hit = scan(documents, benchmark, window).where("n_hit > 0").select("doc_id", F.col("_text").alias(at), F.col("spans").alias(cut)).dropDuplicates(["doc_id", at])
+    joined = join_on(documents.withColumn(at, F.xxhash64("text")), hit, ["doc_id", at], "left")
     words = _words(F.col("text"))
-    kept = F.array_join(F.filter(words, lambda w, i: ~F.exists("_spans", lambda s: (s["a"] <= i + 1) & (i + 1 < s["b"]))), " ")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)
+    kept = F.array_join(F.filter(words, lambda w, i: ~F.exists(F.col(cut), lambda s: (s["a"] <= i + 1) & (i + 1 < s["b"]))), " ")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)
     return joined.withColumn("text", text).select(*documents.columns)
 
 

@@ -23,7 +23,8 @@ BIN_BITS, BITS, SHINGLE = 7, 8, 5
 BINS, CELLS = 1 << BIN_BITS, 64 // BITS
 #: Of a hash, what stands below its bin.
 LOW = (1 << (64 - BIN_BITS)) - 1
-BUCKETS = 4096
+#: Ranges of ids: so many, or one for each ROWS rows where that is more, up to MOST.
+BUCKETS, ROWS, MOST = 4096, 1 << 20, 1 << 16
 
 
 def _probes() -> Column:
@@ -96,12 +97,12 @@ def with_next(documents: DataFrame, columns: list[str], buckets: int = BUCKETS)
     """doc_id, ``columns`` and ``next_<column>`` of the document that follows by descending doc_id; the first after the last.
 
     The ids' quantiles cut the rows into ranges, so rows move once and no window spans the table. The first row of a
-    range also goes to the range before it, as a guest that ends it. The driver sees at most ``buckets`` bounds.
+    range also goes to the range before it, as a guest that ends it. The driver sees at most ``buckets`` or MOST bounds.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
     rows = documents.select("doc_id", *columns).withColumn("_k", key)
     n = rows.count()
-    parts = max(1, min(buckets, n // 128))
+    parts = max(1, min(buckets, n // 128), min(MOST, n // ROWS))
     bounds = [] if parts == 1 else rows.select(F.percentile_approx("_k", [i / parts for i in range(1, parts)], parts * 20)).first()[0]
     bounds = sorted(set(bounds or []))
     depth = max(1, len(bounds)).bit_length()

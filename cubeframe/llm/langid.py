@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubeframe.llm.common import unused
 from cubeframe.llm.ngrams import balanced, cells, codes_of
 
 BITS, ORDERS, SAMPLE = 14, (1, 2, 3), 800
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
+#: Letters, and some numerals that are none.
 LETTER = re.compile(r"[^\W\d_]")
 SPACE = re.compile(r"\s+")
 
@@ -47,7 +49,7 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(m[0].isalpha() for m in LETTER.finditer(text)):
             return "und", 0.0
         at, v = _tf_idf(text, self.idf)
         z = self.weights[:, at] @ v / self.temperature
@@ -128,8 +130,8 @@ def _predictor(documents: DataFrame, model: Model):
 
 def predict(documents: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """``keep`` columns, lang_pred, score: one row for each document."""
-    out = documents.select(*keep, _predictor(documents, model).alias("__p"))
-    return out.select(*out.columns[:-1], "__p.lang_pred", "__p.score")
+    found = documents.select(*keep, _predictor(documents, model).alias("found"))
+    return found.select(*found.columns[:-1], "found.lang_pred", "found.score")
 
 
 def held_out() -> Column:
@@ -142,8 +144,9 @@ def learnt(documents: DataFrame) -> Model:
 
 def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents, all columns, whose language is recognised with at least that score."""
-    found = documents.withColumn("__p", _predictor(documents, model))
-    return found.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= least)).drop("__p")
+    at = unused(documents, "predicted")
+    found = documents.withColumn(at, _predictor(documents, model))
+    return found.where((F.col(f"{at}.lang_pred") != "und") & (F.col(f"{at}.score") >= least)).select(*documents.columns)
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:

@@ -158,6 +158,9 @@ def test_decontaminate(spark, docs):
     assert 83 not in left and 84 in left and 80 in left and None in left
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, items).collect()}
     assert len(cut[84].split()) == 9000 - 25 and cut[1] == prose(60, 1)
+    clash = docs.withColumn("_text", F.lit("t")).withColumn("_spans", F.lit("s"))
+    for kept in (decontaminate.remove_documents(clash, items), decontaminate.remove_spans(clash, items)):
+        assert kept.columns == clash.columns and {(r["_text"], r["_spans"]) for r in kept.collect()} == {("t", "s")}
     assert decontaminate.scan(docs.limit(0), items.limit(0)).count() == 0 and decontaminate.scan(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
@@ -230,20 +233,35 @@ def test_counting(docs):
             new = r.choice(["", " ", "x", "'s", "   ", "\n\n ", " hello world", "12 é"])
             doc.edit(a, b, new)
             now = now[:a] + new + now[b:]
+            if r.random() < 0.3:
+                doc = counting.Counted.restored(now, doc.stored(), words)
         assert doc.text() == now and doc.length == len(now) and doc.tokens == len(words.tokenizer.encode(now, add_special_tokens=False).ids)
     edits = F.array(F.struct(F.lit(5).alias("start"), F.lit(9).alias("end"), F.lit(None).cast("string").alias("new")))
     got = {x["doc_id"]: x for x in counting.counted(docs.withColumn("edits", edits), None, path).collect()}
     assert got[84]["recounted"] < 120 and got[80]["n_tokens"] == 0
+    # stored trees, edited twice, as whole texts are counted
+    one = lambda a, b, new: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(new).alias("new")))
+    first = counting.edited(counting.trees(docs.withColumn("found", F.lit(1)), path).withColumn("edits", one(3, 5, " big x")), path)
+    second = counting.edited(first.withColumn("edits", one(9, 12, "")), path)
+    assert set(second.columns) == {"doc_id", "lang", "score", "found", "text", "tree", "n_tokens", "recounted"}
+    for x in second.collect():
+        assert x["n_tokens"] == len(words.tokenizer.encode(x["text"], add_special_tokens=False).ids) and x["recounted"] < 120
+    big = counting.Counted("", words)
+    for k in range(40):
+        big.edit(big.length, big.length, prose(30, k) + " ")
+    assert big.tokens == len(words.tokenizer.encode(big.text(), add_special_tokens=False).ids) and len(big.leaves) > 1
 
 
 def test_language(spark, docs, rows):
     words = {"xx": "aeiou", "yy": "bcdfg"}
     r = random.Random(4)
     many = [(k, " ".join("".join(r.choice(words[g]) for _ in range(5)) for _ in range(20)), g, 0) for k, g in enumerate(["xx", "yy"] * 60)]
-    table = spark.createDataFrame([*many, (500, None, "xx", 0), (501, "123 !!", "xx", 0), (None, "aeiou", None, 0)], DOCS)
+    table = spark.createDataFrame([*many, (500, None, "xx", 0), (501, "123 !!", "xx", 0), (502, "½ ② ³", "xx", 0), (503, "aeiou " * 30000, None, 0), (503, "bcdfg", None, 0), (None, "aeiou", None, 0)], DOCS)
     got = {x["doc_id"]: x for x in langid.predict(table, langid.learnt(table), F.col("doc_id")).collect()}
-    assert all(got[k]["lang_pred"] == g and got[k]["score"] > 0.9 for k, _, g, _ in many) and got[500]["lang_pred"] == got[501]["lang_pred"] == "und"
-    assert langid.accepted(table, langid.learnt(table)).columns == table.columns
+    assert all(got[k]["lang_pred"] == g and got[k]["score"] > 0.9 for k, _, g, _ in many) and got[500]["lang_pred"] == got[501]["lang_pred"] == got[502]["lang_pred"] == "und"
+    clash = table.withColumn("predicted", F.lit("p"))
+    left = langid.accepted(clash, langid.learnt(table))
+    assert left.columns == clash.columns and {r["predicted"] for r in left.collect()} == {"p"}
     nothing = langid.learnt(table.limit(0))
     assert {x["lang_pred"] for x in langid.predict(table, nothing, F.col("doc_id")).collect()} == {"und"}
 
