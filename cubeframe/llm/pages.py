@@ -20,7 +20,6 @@ from __future__ import annotations
 import html
 import pickle
 import re
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -32,7 +31,7 @@ from cubeframe.llm.common import WordHash, materialise, mix
 CROWD, RUN, COMMON = 256, 6, 4
 #: Groups of so many pages tell the others all of their runs.
 FEW = 8
-COLUMNS = ["page_id", "url", "text", "crowd", "host", "pages", "key", "blob", "run", "n", "out"]
+COLUMNS = ["page_id", "url", "text", "copies", "crowd", "host", "pages", "blob", "run", "n", "out"]
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[/!?]?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?][^>]*>|[^<]+|<",
     re.S | re.I,
@@ -185,16 +184,21 @@ def kept(pages: list[tuple[list[str], list[int]]], whole: Runs, outside: Runs, s
     return out
 
 
-def _pack(page: tuple[list[str], list[int]]) -> bytes:
+def _pack(some: dict) -> bytes:
     import zstandard
 
-    return zstandard.compress(pickle.dumps(page, 5), 3)
+    return zstandard.compress(pickle.dumps(some, 5), 5)
 
 
-def _unpack(blob: bytes) -> tuple[list[str], list[int]]:
+def _unpack(blobs) -> dict:
+    """Pages by key: (page_id, url, texts, kinds, how many copies), in an order that no shuffle changes."""
     import zstandard
 
-    return pickle.loads(zstandard.decompress(blob))
+    out: dict = {}
+    for blob in blobs:
+        for key, page in pickle.loads(zstandard.decompress(blob)).items():
+            out[key] = (*page[:4], page[4] + out[key][4]) if key in out else page
+    return dict(sorted(out.items()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -209,51 +213,60 @@ def extract(pages: DataFrame) -> DataFrame:
     dealt = rows.join(F.broadcast(hosts), "host", "left").select("page_id", "url", "html", "host", "pages", "key", crowd)
 
     def parse(batches):
+        """A row for each group of a batch's pages; of copies there is one."""
         for pdf in batches:
-            blobs = [_pack((list(map(itemgetter(0), b)), list(map(itemgetter(1), b)))) for b in map(blocks, pdf["html"])]
-            yield pdf.drop(columns="html").assign(blob=blobs)
-
-    def once(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The group's distinct pages, in an order that no shuffle changes."""
-        return pdf.drop_duplicates("key").sort_values("key")
+            for (crowd, host), some in pdf.groupby(["crowd", "host"], sort=False):
+                copies = some["key"].value_counts()
+                one = some.drop_duplicates("key")
+                held = {}
+                for page_id, url, page, k in zip(one["page_id"], one["url"], one["html"], one["key"].tolist(), strict=True):
+                    b = blocks(page)
+                    held[k] = (page_id, url, [t for t, _ in b], [m for _, m in b], int(copies[k]))
+                yield pd.DataFrame({"crowd": [crowd], "host": [host], "pages": some["pages"].iloc[:1].to_numpy(), "blob": [_pack(held)]})
 
     def named(runs: Runs, host: str) -> np.ndarray:
         return mix(runs.keys ^ np.uint64(WordHash()[host.encode("utf-8", "surrogatepass")])).view(np.int64)
 
+    def result(found: dict, texts: list[str]) -> dict:
+        return {"page_id": [p[0] for p in found.values()], "url": [p[1] for p in found.values()], "text": texts, "copies": [p[4] for p in found.values()]}
+
+    def frame(columns: dict) -> pd.DataFrame:
+        n = max(map(len, columns.values()), default=0)
+        return pd.DataFrame({c: pd.Series(columns.get(c, [None] * n), dtype=object) for c in COLUMNS})
+
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of a host of one group the texts; else the pages as they are and the counts of the group's runs."""
-        some = once(pdf)
-        found = [_unpack(b) for b in some["blob"]]
-        whole, outside = crowd_runs(found)
-        if pd.isna(some["pages"].iloc[0]):
-            text = dict(zip(some["key"], kept(found, whole, outside, len(some)), strict=True))
-            return pdf[["page_id", "url"]].assign(text=pdf["key"].map(text)).assign(**dict.fromkeys(COLUMNS[3:]))
-        counts = pd.concat([pd.DataFrame({"run": named(outside, some["host"].iloc[0]), "out": outside.pages}).set_index("run"), pd.DataFrame({"run": named(whole, some["host"].iloc[0]), "n": whole.pages}).set_index("run")], axis=1).reset_index(names="run")
-        counts = counts[(counts["n"] > 1) | counts["out"].notna() | (len(some) <= FEW)].fillna(0).assign(crowd=pdf["crowd"].iloc[0])
-        empty = {True: [None] * len(pdf), False: [None] * len(counts)}
-        return pd.DataFrame({c: pd.Series([x for f in (pdf, counts) for x in (f[c] if c in f else empty[f is pdf])], dtype=object) for c in COLUMNS})
+        found, host, size = _unpack(pdf["blob"]), pdf["host"].iloc[0], pdf["pages"].iloc[0]
+        read = [(p[2], p[3]) for p in found.values()]
+        whole, outside = crowd_runs(read)
+        if pd.isna(size):
+            return frame(result(found, kept(read, whole, outside, len(read))))
+        n, out = (pd.Series(r.pages, named(r, host)) for r in (whole, outside))
+        n = n[(n > 1) | n.index.isin(out.index) | (len(read) <= FEW)]
+        rows = {"run": [None, *n.index.tolist()], "n": [None, *n.tolist()], "out": [None, *out.reindex(n.index, fill_value=0).tolist()]}
+        return frame(rows | {"crowd": [int(pdf["crowd"].iloc[0])] * (len(n) + 1), "host": [host] + [None] * len(n), "pages": [int(size)] + [None] * len(n), "blob": [_pack(found)] + [None] * len(n)})
 
     def finish(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({"page_id": [], "url": [], "text": []})
-        some = once(pdf)
-        found = [_unpack(b) for b in some["blob"]]
-        whole, outside = crowd_runs(found)
+            return pd.DataFrame({"page_id": [], "url": [], "text": [], "copies": []})
+        found, host = _unpack(pdf["blob"]), pdf["host"].iloc[0]
+        read = [(p[2], p[3]) for p in found.values()]
+        whole, outside = crowd_runs(read)
         for runs, column in ((whole, "n"), (outside, "out")):
-            total = pd.Series(shared[column].to_numpy(), shared["run"].to_numpy()).reindex(named(runs, some["host"].iloc[0])).to_numpy(float)
+            total = pd.Series(shared[column].to_numpy(), shared["run"].to_numpy()).reindex(named(runs, host)).to_numpy(float)
             runs.pages = np.where(np.isnan(total), runs.pages, total)
-        text = dict(zip(some["key"], kept(found, whole, outside, int(some["pages"].iloc[0])), strict=True))
-        return pdf[["page_id", "url"]].assign(text=pdf["key"].map(text))
+        return pd.DataFrame(result(found, kept(read, whole, outside, int(pdf["pages"].iloc[0]))))
 
-    parsed = dealt.mapInPandas(parse, "page_id string, url string, host string, pages long, key long, crowd long, blob binary")
-    done = materialise(parsed.groupBy("crowd").applyInPandas(settle, "page_id string, url string, text string, crowd long, host string, pages long, key long, blob binary, run long, n int, out int"), "crowds")
+    parsed = dealt.mapInPandas(parse, "crowd long, host string, pages long, blob binary")
+    done = materialise(parsed.groupBy("crowd").applyInPandas(settle, "page_id string, url string, text string, copies long, crowd long, host string, pages long, blob binary, run long, n int, out int"), "crowds")
     counts = done.where("run IS NOT NULL").select("crowd", "run", "n", "out")
     totals = counts.groupBy("run").agg(F.sum("n").alias("n"), F.sum("out").alias("out"), F.count(F.lit(1)).alias("crowds")).where("crowds > 1")
     shared = counts.select(F.col("crowd").alias("to"), "run").join(totals.select("run", "n", "out"), "run")
-    open_ = done.where("blob IS NOT NULL").select("crowd", "page_id", "url", "host", "pages", "key", "blob")
-    found = open_.groupBy("crowd").cogroup(shared.groupBy("to")).applyInPandas(finish, "page_id string, url string, text string")
-    out = done.where("text IS NOT NULL").select("page_id", "url", "text").union(found)
-    return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    open_ = done.where("blob IS NOT NULL").select("crowd", "host", "pages", "blob")
+    found = open_.groupBy("crowd").cogroup(shared.groupBy("to")).applyInPandas(finish, "page_id string, url string, text string, copies long")
+    out = done.where("text IS NOT NULL").select("page_id", "url", "text", "copies").union(found)
+    out = out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return out.drop("copy")
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:
