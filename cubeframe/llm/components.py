@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step writes what every node points to, then joins it with the edges. Both sides of that join are plain shuffles of
-files, so that adaptive execution can split a node with very many edges over several tasks.
+Where there are many edges, each step writes what every node points to and then joins it with the edges: both sides of
+that join are plain shuffles of files, so that adaptive execution can split a node with very many edges over several
+tasks. Few edges need no splitting: both steps of a round are one job then.
 """
 
 from __future__ import annotations
@@ -11,18 +12,26 @@ from pyspark.sql import functions as F
 
 from cubeframe.llm.common import discard, materialise
 
+#: Edges from which on a node's may be too many for a task.
+MANY = 5_000_000
 
-def _star(edges: DataFrame, small: bool, name: str) -> DataFrame:
+
+def _star(edges: DataFrame, small: bool, many: bool, name: str) -> DataFrame:
     """large-star: larger neighbours go to the least neighbour; small-star: smaller neighbours and the node itself do."""
     both = edges if small else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    if many:
+        least = materialise(least, f"{name}-least")
     joined = both.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
     if small:  # every edge points to the smaller node
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
         out = joined.where("v > u OR u > m").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v"))
-    out = materialise(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    discard(least)
+    out = out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    if many or small:
+        out = materialise(out, name)
+    if many:
+        discard(least)
     return out
 
 
@@ -37,7 +46,9 @@ def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == last or not seen[0]:
             return now
-        last, large = seen, _star(now, False, name)
-        discard(now)
-        now = _star(large, True, name)
-        discard(large)
+        last, many, before = seen, seen[0] > MANY, now
+        large = _star(now, False, many, name)
+        now = _star(large, True, many, name)
+        discard(before)
+        if many:
+            discard(large)
