@@ -57,9 +57,10 @@ def masked(value: Column, mask: Column, classes: list[int]) -> Column:
 
 
 def offset_of_baseline(baseline: Column) -> Column:
-    """-1000 from processing baseline 04.00 on, else 0."""
-    parts = F.split(baseline, r"\.")
-    return F.when(F.struct(parts[0].cast("int"), parts[1].cast("int")) >= F.struct(F.lit(4), F.lit(0)), -1000).otherwise(0)
+    """-1000 from processing baseline 04.00 on, else 0; reading it fails where there is none."""
+    part = F.split(baseline, r"\.")
+    after = F.struct(part[0].cast("int"), part[1].cast("int")) >= F.struct(F.lit(4), F.lit(0))
+    return F.when(baseline.isNull(), F.raise_error(F.lit("no processing baseline")).cast("int")).when(after, -1000).otherwise(0)
 
 
 def mgrs_epsg(item: Column) -> Column:

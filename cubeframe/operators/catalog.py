@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 def upsert(rows: DataFrame, key: str, seq: str, files: str, others: list[str]) -> DataFrame:
     """One row for each key: the sorted union of its file lists, everything else from the newest row."""
-    split = F.filter(F.split(F.coalesce(files, F.lit("")), ","), lambda f: f != "")
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), seq).alias("o"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(split)))), ",").alias(files))
-    return newest.select(key, *[F.col(f"o.{c}").alias(c) for c in others], files)
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), seq).alias("newest"))
+    one = rows.select(key, F.explode(F.split(F.coalesce(files, F.lit("")), ",")).alias("file")).where("file <> ''").distinct()  # before they are collected
+    lists = one.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias(files))
+    return newest.join(lists, key, "left").select(key, *[F.col(f"newest.{c}").alias(c) for c in others], F.coalesce(files, F.lit("")).alias(files))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The row of each group that is greatest by ``order``: a reduction that begins before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)])).alias("best"))
+    return best.select(*[F.col(c) if c in keys else F.col("best").getField(c).alias(c) for c in df.columns])
 
 
 def explode_files(df: DataFrame, files: str) -> DataFrame:
@@ -43,5 +45,7 @@ def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def guard_unique(df: DataFrame, key: str) -> DataFrame:
     """``df``; reading it fails if a key stands twice."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return df.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col(key).cast("string")))).otherwise(F.lit(True))).drop("_n")
+    n = df.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("ids"), F.max_by("id", "n").alias("worst"), F.max("n").alias("most"))
+    said = F.concat(F.lit("repeated id "), F.col("worst").cast("string"), F.lit(" stands "), F.col("most").cast("string"), F.lit(" times; such ids: "), F.col("ids").cast("string"))
+    fine = n.select(F.when(F.col("ids") > 0, F.raise_error(said)).otherwise(F.lit(True)).alias("fine"))
+    return df.crossJoin(F.broadcast(fine)).where("fine").select(*df.columns)  # one row

@@ -1,6 +1,6 @@
 """Vectorised model inference over feature arrays."""
 
-
+from __future__ import annotations
 
 from collections.abc import Callable
 from typing import Iterator
@@ -21,10 +21,15 @@ def infer(df: DataFrame, features: str, load: Callable[[], Callable[[np.ndarray]
         if name not in _LOADED:
             _LOADED[name] = load()
         for x in batches:
-            full = x.map(lambda v: v is not None and not np.isnan(np.asarray(v, float)).any())
-            out = pd.Series(np.nan if nodata is None else nodata, index=x.index, dtype=float)
-            if full.any():
-                out[full] = np.asarray(_LOADED[name](np.stack(x[full])), float)
+            some = x.notna().to_numpy()
+            out = np.full(len(x), np.nan if nodata is None else nodata)
+            if some.any():
+                rows = np.stack(x[some]).astype(float)
+                fine = ~np.isnan(rows).any(1)
+                at = np.flatnonzero(some)[fine]
+                if len(at):
+                    out[at] = np.asarray(_LOADED[name](rows[fine]), float)
+            out = pd.Series(out, index=x.index)
             yield out
 
     return df.withColumn("prediction", predict(features))

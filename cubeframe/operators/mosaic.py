@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +31,13 @@ def spine(keys: DataFrame, n: int) -> DataFrame:
 
 def median_mosaic(obs: DataFrame, keys: list[str], values: list[str], start: datetime, end: datetime, days: int, nodata: int = 0) -> DataFrame:
     """keys, win and the truncated exact median of each value; empty windows and all-missing medians are ``nodata``."""
-    inside = obs.where(within(F.col("ts"), start, end)).withColumn("win", window_index(F.col("ts"), start, end, days))
-    found = inside.groupBy(*keys, "win").agg(*[F.median(v).cast("int").alias(v) for v in values])
-    # the spine is the observations' own keys, so both sides are dealt by the same keys
-    out = spine(obs.select(*keys).distinct(), n_windows(start, end, days)).join(found, [*keys, "win"], "left")
-    return out.select(*keys, "win", *[F.coalesce(v, F.lit(nodata)).alias(v) for v in values])
+    n = n_windows(start, end, days)
+    win = F.when(within(F.col("ts"), start, end), window_index(F.col("ts"), start, end, days))
+    found = obs.withColumn("win", win).groupBy(*keys, "win").agg(*[F.median(v).cast("int").alias(v) for v in values])
+    # one read: what lies outside the range keeps its key's axis alive, as the row without a window
+    by = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("win").isNotNull(), F.struct("win", F.struct(*values))))).alias("found"))
+    out = by.select(*keys, "found", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("win"))
+    return out.select(*keys, "win", *[F.coalesce(F.col("found")[F.col("win")][v], F.lit(nodata)).alias(v) for v in values])
 
 
 def wide(obs: DataFrame, bands: list[str], value: Column) -> DataFrame:
@@ -45,20 +46,22 @@ def wide(obs: DataFrame, bands: list[str], value: Column) -> DataFrame:
 
 
 def acquisition_windows(times: DataFrame, key: str, start: datetime, days: int) -> DataFrame:
-    """key, ts, win: gap-driven windows. A time past the open window's end opens the next, one step on."""
-    width = pd.Timedelta(days=days)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        end, win, out = pd.Timestamp(start) + width, 0, []
-        for k, ts in enumerate(pdf["ts"]):
-            if ts > end:
-                win, end = win + (k > 0), end + width
-            out.append(win)
-        return pdf.assign(win=out)
-
-    kind = times.schema[key].dataType.simpleString()
-    return times.select(key, F.col("ts").cast("timestamp_ntz")).groupBy(key).applyInPandas(walk, f"{key} {kind}, ts timestamp_ntz, win int")
+    """key, ts, win: gap-driven windows. A time past the open window's end opens the next, one step on.
+
+    Each key's distinct times (a cube's time axis, not its pixels) are walked once, in order, within the plan.
+    """
+    step = F.lit(86400 * days)
+    at = lambda t: F.timestamp_diff("SECOND", F.lit(start).cast("timestamp_ntz"), t)
+    axis = times.groupBy(key).agg(F.array_sort(F.collect_set(F.col("ts").cast("timestamp_ntz"))).alias("axis"))
+    begin = F.struct(step.cast("long").alias("end"), F.lit(0).alias("win"), F.array().cast("array<struct<ts:timestamp_ntz,win:int>>").alias("out"))
+
+    def walk(s: Column, t: Column) -> Column:
+        past = at(t) > s["end"]
+        win = F.when(past & (F.size(s["out"]) > 0), s["win"] + 1).otherwise(s["win"])
+        return F.struct(F.when(past, s["end"] + step).otherwise(s["end"]).alias("end"), win.alias("win"), F.concat(s["out"], F.array(F.struct(t.alias("ts"), win.alias("win")))).alias("out"))
+
+    found = axis.select(key, F.explode(F.aggregate("axis", begin, walk, lambda s: s["out"])).alias("w"))
+    return found.select(key, "w.ts", "w.win")
 
 
 def pixel_indices(spark: SparkSession, obs: DataFrame, start: datetime, end: datetime, days: int) -> DataFrame:

@@ -60,21 +60,26 @@ _N = "nullif({}, 0)"
 
 
 @query(f"""WITH {OBS}, m AS (SELECT s.pixel, s.win, {', '.join(_med(b) for b in ALL)} FROM spine s LEFT JOIN win w USING (pixel, win) GROUP BY ALL),
-x AS (SELECT pixel, win, B02::DOUBLE b2, B03::DOUBLE b3, B04::DOUBLE b4, B08::DOUBLE b8, B11::DOUBLE b11 FROM m)
+x AS (SELECT pixel, win, B02::DOUBLE b2, B03::DOUBLE b3, B04::DOUBLE b4, B08::DOUBLE b8, B11::DOUBLE b11, b3 AS b5, b2 AS b6, b4 AS b12 FROM m)
 SELECT pixel, win, round((b8-b4)/nullif(b8+b4,0),6) AS "NDVI", round((b3-b8)/nullif(b3+b8,0),6) AS "NDWI_green", round((b2-b8)/nullif(b2+b8,0),6) AS "NDWI_blue",
 round((b8-b11)/nullif(b8+b11,0),6) AS "LSWI_B11", round(b8/nullif(b3,0)-1,6) AS "GCVI", round((b8-b4)*1.48/nullif(b8+b4+0.48,0),6) AS "SAVI",
-round(((b11+b4)-(b8+b2))/nullif((b11+b4)+(b8+b2),0),6) AS "BSI" FROM x""")
+round(((b11+b4)-(b8+b2))/nullif((b11+b4)+(b8+b2),0),6) AS "BSI", round((b8-b5)/nullif(b8+b5,0),6) AS "NDRE", round((b8-b12)/nullif(b8+b12,0),6) AS "LSWI_B12",
+round((b4-b2)/nullif(b6,0),6) AS "PSRI", round((b11-b12)/nullif(b11+b12,0),6) AS "NDTI_tillage" FROM x""")
 def spectral_indices(spark, d):
-    names = ["NDVI", "NDWI_green", "NDWI_blue", "LSWI_B11", "GCVI", "SAVI", "BSI"]
-    out = B.spectral_indices(calendar_median_mosaic(spark, d), names)
+    names = list(B.INDICES)
+    stand_ins = {"B05": F.col("B03"), "B06": F.col("B02"), "B12": F.col("B04")}
+    out = B.spectral_indices(calendar_median_mosaic(spark, d).withColumns(stand_ins), names)
     return out.select("pixel", "win", *[F.round(n, 6).alias(n) for n in names])
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, t AS (SELECT pixel, ts, row_number() OVER (PARTITION BY pixel ORDER BY ts) AS i, date_diff('second', TIMESTAMP '2024-01-01', ts) AS s FROM (SELECT DISTINCT pixel, ts FROM obs)),
+a AS (SELECT pixel, ts, i, 0 AS w, CASE WHEN s > 604800 THEN 1209600 ELSE 604800 END AS e FROM t WHERE i = 1
+UNION ALL SELECT t.pixel, t.ts, t.i, a.w + (t.s > a.e)::INT, a.e + 604800 * (t.s > a.e)::INT FROM a JOIN t ON t.pixel = a.pixel AND t.i = a.i + 1)
+SELECT a.pixel, a.w AS win, band, trunc(median(dn))::INT AS dn FROM a JOIN obs ON obs.pixel = a.pixel AND obs.ts = a.ts GROUP BY ALL""")
 def acquisition_mosaic(spark, d):
     obs = observations(spark, d)
     wins = Z.acquisition_windows(obs.select("pixel", "ts").distinct(), "pixel", START, DAYS)
-    return obs.withColumn("ts", F.col("ts")).join(wins, ["pixel", "ts"]).groupBy("pixel", "win", "band").agg(F.median("dn").cast("int").alias("dn"))
+    return obs.join(wins, ["pixel", "ts"]).groupBy("pixel", "win", "band").agg(F.median("dn").cast("int").alias("dn"))
 
 
 @query(f"WITH {OBS} SELECT win, band, trunc(median(dn))::INT AS dn FROM win WHERE dn IS NOT NULL GROUP BY ALL")
@@ -125,13 +130,13 @@ def catalog_upsert(spark, d):
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_shipdate DESC, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) = 1")
 def dedupe_reprocessed(spark, d):
-    order = [F.col("l_shipdate").desc(), *map(F.col, ("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"))]
+    order = [F.col("l_shipdate"), *[-F.col(c) for c in ("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")]]
     return C.latest(table(spark, d, "lineitem"), ["l_orderkey", "l_partkey"], order).select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
 
 
 @query("SELECT o_custkey, o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) = 1")
 def work_unit_dedupe(spark, d):
-    return C.latest(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], [F.col("o_orderdate").desc(), F.col("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey")
+    return C.latest(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], [F.col("o_orderdate"), -F.col("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey")
 
 
 @query("""WITH x AS (SELECT p_partkey, unnest(string_split(replace(p_name, ' ', '.jp2,') || '.tif,MTD_TL.xml', ',')) AS file FROM part)
@@ -172,7 +177,7 @@ def job_status_left(spark, d):
 
 
 @query("SELECT floor(date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) / 90.0)::INT AS win, count(*) AS n, sum(l_quantity)::BIGINT AS qty FROM lineitem GROUP BY 1")
-def range_join_windows(spark, d):
+def calendar_bins(spark, d):
     win = F.floor(F.date_diff("l_shipdate", F.lit("1995-01-01").cast("date")) / 90).cast("int")
     return table(spark, d, "lineitem").groupBy(win.alias("win")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("qty"))
 
@@ -293,7 +298,9 @@ def cell_survey(spark, d):
 
 @query("SELECT l_suppkey, count(DISTINCT l_partkey) AS tiles, count(DISTINCT l_orderkey) AS cells FROM lineitem GROUP BY 1")
 def tile_sharing(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("tiles"), F.count_distinct("l_orderkey").alias("cells"))
+    x = table(spark, d, "lineitem")
+    one = lambda c, name: x.select("l_suppkey", c).distinct().groupBy("l_suppkey").agg(F.count(c).alias(name))  # noqa: E731  distinct pairs first: no key in one task
+    return one("l_partkey", "tiles").join(one("l_orderkey", "cells"), "l_suppkey")
 
 
 _YR = "SELECT year(o_orderdate)::INT AS cores, sum(o_totalprice::DECIMAL(18,2)) AS total FROM orders GROUP BY 1"
@@ -344,7 +351,9 @@ def estimate_cost(spark, d):
     return x.select("*", F.round(F.col("granules") * 3 * 0.09, 6).alias("gb"), F.round(F.col("cells") * T * 1.79 / 60, 6).alias("minutes"))
 
 
-@query()
+@query("""WITH a AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL),
+x AS (SELECT user_id, min(ts) AS t, string_agg('"' || event_type || '":{"href":"/data/' || event_type || '.tif","type":"image/tiff"}', ',' ORDER BY event_type) AS s FROM a GROUP BY 1)
+SELECT user_id, '{"type":"Feature","id":"' || user_id || '","properties":{"datetime":"' || strftime(t, '%Y-%m-%dT%H:%M:%SZ') || '"},"assets":{' || s || '}}' AS item FROM x""")
 def stac_items_json(spark, d):
-    x = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").cast("string").alias("datetime"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("event_type", F.struct(F.concat(F.lit("/data/"), "event_type", F.lit(".tif")).alias("href"), F.lit("image/tiff").alias("type")))))).alias("assets"))
+    x = table(spark, d, "events").groupBy("user_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("event_type", F.struct(F.concat(F.lit("/data/"), "event_type", F.lit(".tif")).alias("href"), F.lit("image/tiff").alias("type")))))).alias("assets"))
     return x.select("user_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("user_id").cast("string").alias("id"), F.struct("datetime").alias("properties"), "assets")).alias("item"))
