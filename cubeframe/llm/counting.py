@@ -88,20 +88,16 @@ class Counted:
         sizes = data[4 : 4 + 4 * n].view("<u4").tolist()
         planes = data[4 + 4 * n :].reshape(2, 4, -1)
         lengths, counts = (np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes)
-        stops = np.cumsum(lengths).tolist()
-        parts = [text[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-        counts, at, self.leaves = counts.tolist(), 0, []
-        for size in sizes:
-            self.leaves.append((parts[at : at + size], counts[at : at + size]))
-            at += size
-        self._build()
+        stops, bounds = np.cumsum(lengths, dtype=np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.leaves = _Leaves(text, np.concatenate([[0], stops]), counts, bounds)
+        chars, tokens = (np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[bounds] for v in (lengths, counts))
+        self._build(list(zip(np.diff(chars).tolist(), np.diff(tokens).tolist(), strict=True)))
         return self
 
-    def _build(self) -> None:
+    def _build(self, sums: list[tuple[int, int]] | None = None) -> None:
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = [(0, 0)] * (2 * self.width)
-        for k, leaf in enumerate(self.leaves):
-            self.sums[self.width + k] = self._sum(leaf)
+        self.sums[self.width : self.width + len(self.leaves)] = list(map(self._sum, self.leaves)) if sums is None else sums
         for k in range(self.width - 1, 0, -1):
             self.sums[k] = self._above(k)
 
@@ -179,6 +175,28 @@ class Counted:
             above = {k // 2 for k in above}
 
 
+class _Leaves(list):
+    """Leaves of a stored tree; one is cut from the text when it is asked for."""
+
+    def __init__(self, text: str, at: np.ndarray, counts: np.ndarray, bounds: np.ndarray):
+        super().__init__([None] * (len(bounds) - 1))
+        self.of = text, at, counts, bounds
+
+    def __getitem__(self, k):
+        if isinstance(k, slice):
+            return [self[i] for i in range(*k.indices(len(self)))]
+        leaf = super().__getitem__(k)
+        if leaf is None:
+            text, at, counts, bounds = self.of
+            a, b = int(bounds[k]), int(bounds[k + 1])
+            stops = at[a : b + 1].tolist()
+            leaf = self[k] = ([text[p:q] for p, q in zip(stops, stops[1:], strict=False)], counts[a:b].tolist())
+        return leaf
+
+    def __iter__(self):
+        return (self[k] for k in range(len(self)))
+
+
 def _bytes_of(values: np.ndarray) -> np.ndarray:
     """The first bytes of all values, then the second ones and so on: three of four are nearly always 0."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T)
@@ -217,11 +235,16 @@ def trees(documents: DataFrame, tokenizer: str) -> DataFrame:
     return documents.withColumn(tree, of("text")).select(*keep, f"{tree}.tree", f"{tree}.n_tokens")
 
 
-def edited(stored: DataFrame, tokenizer: str) -> DataFrame:
-    """``stored`` (text, tree, n_tokens and others as of :func:`trees`, edits) with text, tree and n_tokens as the edits leave them, and ``recounted``."""
+def edited(stored: DataFrame, tokenizer: str, counts_only: bool = False) -> DataFrame:
+    """``stored`` (text, tree, n_tokens and others as of :func:`trees`, edits) with text, tree and n_tokens as the edits leave them, and ``recounted``.
+
+    ``counts_only``: ``edited_chars`` in the place of the text and the tree.
+    """
     found = unused(stored, "found")
 
-    @F.pandas_udf("text string, tree binary, n_tokens long, recounted long")
+    names = ["edited_chars", "n_tokens", "recounted"] if counts_only else ["text", "tree", "n_tokens", "recounted"]
+
+    @F.pandas_udf("edited_chars long, n_tokens long, recounted long" if counts_only else "text string, tree binary, n_tokens long, recounted long")
     def of(text: pd.Series, tree: pd.Series, edits: pd.Series) -> pd.DataFrame:
         from cubeframe.llm import counting
 
@@ -229,10 +252,10 @@ def edited(stored: DataFrame, tokenizer: str) -> DataFrame:
         for t, blob, changes in zip(text, tree, edits, strict=True):
             doc = counting.Counted.restored(t or "", blob, counting.vocabulary(tokenizer))
             counting._changed(doc, changes)
-            out.append((doc.text(), doc.stored(), doc.tokens, doc.recounted))
-        return pd.DataFrame(out, columns=["text", "tree", "n_tokens", "recounted"])
+            out.append((doc.length, doc.tokens, doc.recounted) if counts_only else (doc.text(), doc.stored(), doc.tokens, doc.recounted))
+        return pd.DataFrame(out, columns=names)
 
-    keep = [c for c in stored.columns if c.lower() not in ("text", "tree", "n_tokens", "recounted", "edits")]
+    keep = [c for c in stored.columns if c.lower() not in ("text", "tree", "edits", *names)]
     return stored.withColumn(found, of("text", "tree", "edits")).select(*keep, f"{found}.*")
 
 
@@ -272,5 +295,5 @@ def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     made = trees(docs, path).withColumn("before", F.col("n_tokens"))
     edits = F.array(edit(n / 2, n / 2, " inserted"), edit(n / 4, n / 4 + 12, ""), edit(n + 9, n + 9, " The end."))
-    out = edited(made.withColumn("edits", edits), path)
-    return out.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), F.char_length("text").cast("long").alias("edited_chars"), "recounted")
+    out = edited(made.withColumn("edits", edits), path, counts_only=True)
+    return out.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), "edited_chars", "recounted")
