@@ -32,7 +32,7 @@ LEAF, FULL = 32, 256
 class Vocabulary:
     """Numbers of tokens of pre-tokens; those seen before are not encoded again."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import public_tokenizers
         import regex
 
@@ -48,9 +48,12 @@ class Vocabulary:
     def counts(self, parts: list[str]) -> list[int]:
         if len(self.known) > self.most:
             self.known.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = len(e.ids)
+        found = list(map(self.known.get, parts))
+        if None not in found:
+            return found
+        new = list({p for p, n in zip(parts, found, strict=True) if n is None})
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[p] = len(e)
         return [self.known[p] for p in parts]
 
 
