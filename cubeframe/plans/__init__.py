@@ -1,3 +1,3 @@
 """Part of cubeframe."""
 
-from cubeframe.plans import reports, shapes, tools  # noqa: F401  these register their queries
+from cubeframe.plans import reports, shapes, tools, training  # noqa: F401  these register their queries
