@@ -72,12 +72,9 @@ class Counted:
 
     def stored(self) -> bytes:
         """The tree without its text."""
-        import zstandard
-
         sizes = np.array([len(p) for p, _ in self.leaves], "<u4")
         lengths = np.array([len(x) for p, _ in self.leaves for x in p], "<u4")
-        counts = np.array([n for _, c in self.leaves for n in c], "<u4")
-        return zstandard.compress(b"".join(x.tobytes() for x in (np.array([len(sizes)], "<u4"), sizes, _bytes_of(lengths), _bytes_of(counts))), 1)
+        return _packed(sizes, lengths, np.array([n for _, c in self.leaves for n in c], "<u4"))
 
     @classmethod
     def restored(cls, text: str, tree: bytes, vocabulary: Vocabulary) -> Counted:
@@ -205,6 +202,21 @@ def _bytes_of(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T)
 
 
+def _packed(sizes: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(b"".join(x.tobytes() for x in (np.array([len(sizes)], "<u4"), sizes, _bytes_of(lengths), _bytes_of(counts))), 1)
+
+
+def new_tree(text: str, words: Vocabulary) -> tuple[bytes, int]:
+    """The stored tree of a text and its number of tokens, as of ``Counted``; sums follow when it is restored."""
+    parts = words.cut(text)
+    lengths, counts = np.fromiter(map(len, parts), "<u4", len(parts)), np.array(words.counts(parts), "<u4")
+    full, rest = divmod(len(parts), LEAF)
+    sizes = np.array([LEAF] * full + [rest] * (rest > 0 or not full), "<u4")
+    return _packed(sizes, lengths, counts), int(counts.sum(dtype=np.int64))
+
+
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
@@ -231,8 +243,8 @@ def trees(documents: DataFrame, tokenizer: str) -> DataFrame:
     def of(text: pd.Series) -> pd.DataFrame:
         from cubeframe.llm import counting  # the module itself: what is sent with the function would be a copy
 
-        made = (counting.Counted(t or "", counting.vocabulary(tokenizer)) for t in text)
-        return pd.DataFrame([(d.stored(), d.tokens) for d in made], columns=["tree", "n_tokens"])
+        words = counting.vocabulary(tokenizer)
+        return pd.DataFrame([counting.new_tree(t or "", words) for t in text], columns=["tree", "n_tokens"])
 
     keep = [c for c in documents.columns if c.lower() not in ("tree", "n_tokens")]
     return documents.withColumn(tree, of("text")).select(*keep, f"{tree}.tree", f"{tree}.n_tokens")

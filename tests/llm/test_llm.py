@@ -375,3 +375,14 @@ def test_decontaminate_capital_sigma(spark):
     docs = spark.createDataFrame([(1, f"{tail} ΟΔΟΣ.ΑΒ")], "doc_id long, text string")
     items = spark.createDataFrame([(1, f"{tail} ΟΔΟΣ")], "item_id long, text string")
     assert decontaminate.scan(docs, items).collect()[0]["n_hit"] == 13
+
+
+def test_new_tree_is_the_counted_one():
+    import public_tokenizers
+
+    from cubeframe.llm import counting
+
+    words = counting.Vocabulary(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for text in ("", "a", " b" * 32, " b" * 33, "Words, of 3 kinds;\n\n and ½ é " * 400, "x" * 100_000):
+        doc = counting.Counted(text, words)
+        assert counting.new_tree(text, words) == (doc.stored(), doc.tokens)
