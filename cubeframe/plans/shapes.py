@@ -66,4 +66,4 @@ def grid_cells(spark, d):
 
 @query(f"WITH {_A}, {_B} SELECT a.id, count(*) AS tiles FROM a JOIN b ON {_MEET} GROUP BY 1")
 def cell_coverage(spark, d):
-    return P.pairs(_a(spark, d), _b(spark, d), 8.0).groupBy(c("a_id").alias("id")).agg(F.count(lit(1)).alias("tiles"))
+    return P.coverage(_a(spark, d), _b(spark, d), 8.0).select("id", c("n").alias("tiles"))
