@@ -42,7 +42,7 @@ def polygon_join(spark, d):
 @query(f"WITH {_A}, {_B} SELECT a.id AS a_id, b.id AS b_id, round({_COMMON}, 4) AS area FROM a JOIN b ON {_MEET} WHERE {_COMMON} > 0")
 def field_overlay(spark, d):
     area = F.aggregate(F.transform("rings", G.ring_area), lit(0.0), lambda s, x: s + x)
-    return P.overlay(_a(spark, d), _b(spark, d), 8.0).select("a_id", "b_id", F.round(area, 4).alias("area"))
+    return P.overlay(_a(spark, d), _b(spark, d), 8.0, area=F.round(area, 4)).select("a_id", "b_id", "area")
 
 
 @query(f"""WITH {_A}, {_B} SELECT a.id FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.id <> a.id AND abs(a.x - b.x) + abs(a.y - b.y) <= b.r - a.r AND (b.r > a.r OR b.id < a.id))""")

@@ -74,3 +74,12 @@ def test_uncovered_judges_rows(spark):
     kept = spatial.uncovered(cells, 2.0)
     assert kept.columns == ["id", "rings", "more"]
     assert {(r["id"], r["rings"][0][0]["x"] if r["rings"] else None) for r in kept.collect()} == {("1", 0), ("2", 7), ("1", 1), (None, 0), ("4", None)}
+
+
+def test_field_overlay_of_copies(spark, tested, copies):
+    folder, large, key = copies
+    rows = QUERIES["field_overlay"](spark, folder).collect()
+    assert rows == [] and tested.value <= 2  # they only touch
+    tiles = spark.createDataFrame([(i, box(0, 0, 2, 2)) for i in range(20)], f"id int, rings {G.RINGS}")
+    made = spatial.overlay(tiles, tiles.withColumn("rings", F.array(F.transform(F.col("rings")[0], lambda p: F.struct((p["x"] + 1).alias("x"), p["y"].alias("y"))))), 2.0, area=G.ring_area(F.col("rings")[0]))
+    assert {(r["a_id"], r["b_id"], r["area"]) for r in made.collect()} == {(i, j, 2.0) for i in range(20) for j in range(20)} and tested.value <= 3
