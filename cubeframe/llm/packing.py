@@ -32,6 +32,8 @@ CONTROLS = "\x1c\x1d\x1e\x1f\x85"
 TAILS = frozenset(".,;:!?)")
 #: Words encoded in one call, and characters of text whose new words are learnt together.
 CHUNK, STRETCH = 1000, 100_000
+#: Words that a Python worker keeps (about 200 bytes each, long after its task is over), and their characters for each.
+KNOWN, WIDTH = 200_000, 32
 
 
 class Encoder:
@@ -41,13 +43,13 @@ class Encoder:
     a word's last token, and no other, has the vocabulary's word-end mark.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = KNOWN):
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.known, self.most, self.characters = Tokenizer.from_file(path), {}, most, 0
         self.unusual = regex.compile(UNUSUAL).search
         self.letters = Tokenizer.from_file(path)  # for lower-case words of letters
         self.letters.normalizer = normalizers.Sequence([])
@@ -108,14 +110,16 @@ class Encoder:
         yield from self._some(held)
 
     def _some(self, texts: list[str]):
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.characters > WIDTH * self.most:
             self.known.clear()
+            self.characters = 0
         parts = [None if self.odd(t) else t.lower().split() for t in texts]
         new: set[str] = set()
         for p in parts:
             new.update(p or ())
         new = new.difference(self.known)
         self.learn(new)
+        self.characters += sum(map(len, new))
         get = self.known.__getitem__
         for text, p in zip(texts, parts, strict=True):
             if p is None:

@@ -57,3 +57,23 @@ def test_stages(spark, tmp_path):
     got = pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sorted((str(r["doc_id"]), r["length"]) for r in got) == sorted((str(i), len(encode(t)) // 4 + 1) for i, t in clean)
     assert max(r["offset"] + r["length"] for r in got) <= 4096
+
+
+def test_workers_keep_few_words():
+    """A worker's words stay in memory through all later stages, so neither many words nor long ones may pile up."""
+    import itertools
+
+    import numpy as np
+
+    path = str(tokenizers.path("word_bpe_49k.json"))
+    encode = packing.Encoder(path)
+    words = ["".join(w) for w in itertools.product("abcdefgh", repeat=6)]  # 262144
+    texts = [" ".join(words[k : k + 5000]) for k in range(0, len(words), 5000)]
+    most, made = 0, []
+    for ids in encode.many([*texts, *texts[:2]]):
+        most, made = max(most, len(encode.known)), [*made, ids]
+    assert most < 230_000 and made[-2:] == made[:2]
+    assert np.frombuffer(made[0], "<u4").tolist() == encode.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    for k in range(150):
+        encode(f"{k}" + "7q" * 50_000)
+    assert sum(map(len, encode.known)) < 10_000_000
