@@ -12,6 +12,7 @@ itself; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import codecs
 import os
 import zlib
 from array import array
@@ -28,10 +29,13 @@ CAPACITY, END_ID = 4096, 1
 #: Text for which the word cache does not promise the library's own result: it goes through the library whole.
 UNUSUAL = "[\x1c-\x1f\x85ɐ-‏ -₫₭-\U0010ffff]|<\\|"
 CONTROLS = "\x1c\x1d\x1e\x1f\x85"
-#: Marks that end many a word; each is a pre-token of its own after letters.
-TAILS = frozenset(".,;:!?)")
+#: Marks that end many a word; a run of them is a pre-token of its own after letters (with apostrophes some are not).
+TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The character that stands for each byte in the vocabulary; a space stays one.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = "".join(" " if b == 32 else chr(b if b in _OWN else 256 + b - sum(k < b for k in _OWN)) for b in range(256))
 #: Words encoded in one call, and characters of text whose new words are learnt together.
-CHUNK, STRETCH = 1000, 100_000
+CHUNK, STRETCH = 200, 100_000
 #: Words that a Python worker keeps (about 200 bytes each, long after its task is over), and their characters for each.
 KNOWN, WIDTH = 200_000, 32
 
@@ -39,6 +43,8 @@ KNOWN, WIDTH = 200_000, 32
 class Encoder:
     """Texts to little-endian 32-bit ids; stretches between white space that were seen before are not encoded again.
 
+    When too many are kept, those stay that came up again since the last time.
+
     A new word of letters only is one pre-token, so that many of them are encoded in one call, set apart by spaces:
     a word's last token, and no other, has the vocabulary's word-end mark.
     """
@@ -50,10 +56,11 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.known, self.most, self.characters = Tokenizer.from_file(path), {}, most, 0
+        self.again: set[str] = set()
         self.unusual = regex.compile(UNUSUAL).search
         self.letters = Tokenizer.from_file(path)  # for lower-case words of letters
         self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # what stands for each byte is put in by ``learn``
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
@@ -68,32 +75,31 @@ class Encoder:
             return bool(self.unusual(text))
 
     def learn(self, words: set[str]) -> None:
-        known, plain, odd = self.known, {}, []
+        known, bases, tailed, odd = self.known, set(), [], []
         for w in words:
-            if w.isalpha():
-                plain[w] = w
-            elif w[-1] in TAILS and w[:-1].isalpha():
-                plain[w] = w[:-1]
-            else:
+            b = w.rstrip(TAILS)
+            if not b.isalpha():
                 odd.append(w)
-        odd += [c for c in {w[-1] for w, b in plain.items() if w != b} if c not in known]
-        new = [b for b in set(plain.values()) if b not in known]
+                continue
+            bases.add(b)
+            if b is not w:
+                tailed.append((w, b, w[len(b) :]))
+        odd += {tail for _, _, tail in tailed}.difference(known)
+        new = list(bases.difference(known))
         for at in range(0, len(new), CHUNK):
             some = new[at : at + CHUNK]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            spelt = codecs.charmap_decode(" ".join(some).encode(), "strict", BYTES)[0]
+            ids = np.frombuffer(array("I", self.letters.encode_batch_fast([spelt], add_special_tokens=False)[0].ids), "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(some) or stops[-1] != len(ids):
                 odd += some
                 continue
-            data, begin = ids.tobytes(), 0
-            for w, stop in zip(some, stops, strict=True):
-                known[w] = data[4 * begin : 4 * stop]
-                begin = stop
+            stops = [4 * k for k in stops]
+            known.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
-        for w, b in plain.items():
-            if w != b:
-                known[w] = known[b] + known[w[-1]]
+        for w, b, tail in tailed:
+            known[w] = known[b] + known[tail]
 
     def __call__(self, text: str) -> bytes:
         return next(self.many([text]))
@@ -109,15 +115,23 @@ class Encoder:
                 held, size = [], 0
         yield from self._some(held)
 
+    def forget(self) -> None:
+        """Keep the words that came up again, or none where they are too many themselves."""
+        self.characters = sum(map(len, self.again))
+        if 4 * len(self.again) > 3 * self.most or 4 * self.characters > 3 * WIDTH * self.most:
+            self.again, self.characters = set(), 0
+        self.known, self.again = {w: self.known[w] for w in self.again}, set()
+
     def _some(self, texts: list[str]):
         if len(self.known) > self.most or self.characters > WIDTH * self.most:
-            self.known.clear()
-            self.characters = 0
+            self.forget()
         parts = [None if self.odd(t) else t.lower().split() for t in texts]
-        new: set[str] = set()
+        words: set[str] = set()
         for p in parts:
-            new.update(p or ())
-        new = new.difference(self.known)
+            words.update(p or ())
+        rest = words.difference(self.again)
+        new = rest.difference(self.known)
+        self.again |= rest - new
         self.learn(new)
         self.characters += sum(map(len, new))
         get = self.known.__getitem__

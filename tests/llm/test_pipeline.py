@@ -77,3 +77,29 @@ def test_workers_keep_few_words():
     for k in range(150):
         encode(f"{k}" + "7q" * 50_000)
     assert sum(map(len, encode.known)) < 10_000_000
+
+
+def test_words_that_come_up_again_are_kept():
+    """When a worker has too many words, those in use are not encoded anew."""
+    import itertools
+
+    import numpy as np
+
+    path = str(tokenizers.path("word_bpe_49k.json"))
+    encode = packing.Encoder(path, 3000)
+    words = ["".join(w) for w in itertools.product("abcdefgh", repeat=5)][::4]
+    common, learnt, learn = words[:500], [], encode.learn
+    encode.learn = lambda some: (learnt.extend(some), learn(some))[1]
+    for k in range(500, len(words), 500):
+        text = " ".join([*common, *words[k : k + 500]])
+        assert encode(text) == np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(encode.known) < 4000
+    assert len(learnt) == len(words)
+
+
+def test_words_with_marks_after_them():
+    import numpy as np
+
+    encode = packing.Encoder(str(tokenizers.path("word_bpe_49k.json")))
+    for text in ("one*** two### one... two*** three&&&", "it's*** o'!! a!'s b''' c'*", '½*** x_y__ 12,5. é$$$ ß." *** ÿ~~ İ&& Ǆ\\|'):
+        assert encode(text) == np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
