@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import pickle
 import re
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,7 @@ TOKEN = re.compile(
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(.*?)/?>\Z", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HOLDERS = BLOCK - {"p"}
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT = frozenset("nav footer aside form menu button dialog head".split())
@@ -94,20 +96,21 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if name in BLOCK:
             flush()
         if closing:
-            if any(n == name for n, _ in stack):
+            if stack and stack[-1][0] == name:
+                stack.pop()
+            elif any(n == name for n, _ in stack):
                 while stack and stack.pop()[0] != name:
                     pass
         elif name not in VOID:
             if name == "p":
-                while stack and stack[-1][0] not in BLOCK - {"p"} and any(n == "p" for n, _ in stack):
+                while stack and stack[-1][0] not in HOLDERS and any(n == "p" for n, _ in stack):
                     stack.pop()
             names = names_of(tag[3]) if tag[3] else []
-            inside = any(m == 2 for _, m in stack)
             mark = 1
             if name in MAIN:
                 mark = 2
                 stack[:] = [(n, 1 if k == 0 and n in OUT else k) for n, k in stack]  # an article ends a menu left open
-            elif name in OUT or (name == "header" and not inside):
+            elif name in OUT or (name == "header" and all(m != 2 for _, m in stack)):
                 mark = 0
             elif names and name not in INLINE and marked(names, BAD, BAD_ALONE):
                 mark = 0
@@ -119,67 +122,84 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
 
 
 class Runs:
-    """The suffix array of all streams, end to end, sorted by the first ``run`` tokens (by prefix doubling).
+    """The suffix array of all blocks of the pages, end to end, sorted by the first ``run`` tokens.
 
-    Suffixes that begin alike are one run: ``keys`` has its hash and ``pages`` the number of pages it stands on. A
-    stream shorter than ``run`` counts whole.
+    Ranks of ever longer beginnings are sorted, as many in one key as it holds: at least two, as in prefix doubling.
+    Suffixes that begin alike are one run: ``pages`` has the number of pages it stands on, ``out`` of those where it
+    begins outside articles. A block shorter than ``run`` counts whole. ``pages``: (texts, kinds).
+
+    A word is a number from 3 on; 1 and 2 are the marks before and after a block, 0 is what lies beyond its end.
     """
 
-    def __init__(self, streams: list[np.ndarray], pages: list[int], run: int = RUN):
-        self.sizes = np.array([len(s) + 2 for s in streams], np.int64)  # each between marks, so that short blocks are whole runs
-        marks = np.array([[1], [2]], np.uint64)
-        flat = np.concatenate([x for s in streams for x in (marks[0], s, marks[1])]) if streams else np.zeros(0, np.uint64)
-        page = np.repeat(np.array(pages, np.int64), self.sizes)
-        self.begin = np.cumsum(self.sizes) - self.sizes
-        owner = np.repeat(np.arange(len(streams)), self.sizes)
-        end = (self.begin + self.sizes)[owner]
-        rank, have, n = np.unique(flat, return_inverse=True)[1] + 1, 1, len(flat)
-        at = np.arange(n)
+    def __init__(self, pages: list[tuple[list[str], list[int]]], run: int = RUN):
+        split = [" ".join(texts).split(" ") for texts, _ in pages if texts]
+        self.words, self.run = list(set().union(*split)), run
+        number = dict(zip(self.words, count(3)))
+        self.sizes = np.array([t.count(" ") + 3 for texts, _ in pages for t in texts], np.int64)  # each between marks, so that short blocks are whole runs
+        stops = np.cumsum(self.sizes)
+        self.begin, self.n = stops - self.sizes, int(self.sizes.sum())
+        self.flat = flat = np.zeros(self.n, np.int64)
+        flat[self.begin], flat[stops - 1] = 1, 2
+        flat[flat == 0] = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, self.n - 2 * len(self.sizes))
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.end = end = stops[owner]
+        rank, have, at, key = flat, 1, np.arange(self.n), flat
         while have < run:
-            nxt = min(have, run - have)
-            second = np.where(at + nxt < end, rank[np.minimum(at + nxt, n - 1)], 0) if n else rank
-            rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1] + 1
-            have += nxt
+            bits = int(rank.max(initial=1)).bit_length()
+            key, reach = rank, have
+            for _ in range(max(2, 63 // bits) - 1):
+                nxt = min(reach, run - have)
+                if reach < run:
+                    key = (key << bits) | np.where(at + nxt < end, rank[np.minimum(at + nxt, self.n - 1)], 0)
+                    reach = nxt + have
+            if reach < run:
+                rank = np.unique(key, return_inverse=True)[1] + 1
+            have = reach
         starts = np.flatnonzero((at + run <= end) | (at == self.begin[owner]))
-        starts = starts[np.argsort(rank[starts], kind="stable")]  # the suffix array
-        fresh = np.diff(rank[starts], prepend=-1) != 0
-        self.of = np.cumsum(fresh) - 1
-        pairs = np.unique(self.of * (len(streams) + 1) + page[starts]) // (len(streams) + 1)
-        self.pages = np.bincount(pairs, minlength=int(fresh.sum()))
-        first = starts[fresh]
-        self.keys = np.zeros(len(first), np.uint64)
-        for k in range(run):
-            self.keys = mix(self.keys + np.where(first + k < end[first], flat[np.minimum(first + k, n - 1)], 0).astype(np.uint64) + np.uint64(k)) if n else self.keys
-        self.starts, self.stops, self.n = starts, np.minimum(starts + run, end[starts]), n
-
-    def covered(self, least: int) -> list[np.ndarray]:
-        """For each stream which of its tokens lie in a run that stands on ``least`` pages or more."""
-        many = (self.pages >= least)[self.of]
-        hit = np.zeros(self.n + 1, np.int64)
-        np.add.at(hit, self.starts[many], 1)
-        np.add.at(hit, self.stops[many], -1)
-        on = np.cumsum(hit)[: self.n] > 0
-        return [on[b + 1 : b + s - 1] for b, s in zip(self.begin, self.sizes, strict=True)]
-
-
-def crowd_runs(pages: list[tuple[list[str], list[int]]]) -> tuple[Runs, Runs]:
-    """The runs of all blocks of the pages, and of the blocks outside articles; ``pages``: (texts, kinds)."""
-    seen = WordHash()
-    streams = [[(np.fromiter(map(seen.__getitem__, w), np.uint64, len(w)), k) for w, k in zip((t.encode("utf-8", "surrogatepass").split(b" ") for t in texts), kinds, strict=True)] for texts, kinds in pages]
-    whole = Runs([s for page in streams for s, _ in page], [n for n, page in enumerate(streams) for _ in page])
-    return whole, Runs([s for page in streams for s, k in page if k < 2], [n for n, page in enumerate(streams) for _, k in page if k < 2])
-
-
-def kept(pages: list[tuple[list[str], list[int]]], whole: Runs, outside: Runs, size: int) -> list[str]:
+        starts = starts[np.argsort(key[starts], kind="stable")]  # the suffix array
+        fresh = np.diff(key[starts], prepend=-1) != 0
+        page = np.repeat(np.arange(len(pages)), np.array([len(texts) for texts, _ in pages], np.int64))[owner[starts]]
+        kind = np.array([k for _, kinds in pages for k in kinds], np.int64)[owner[starts]]
+        self.of, self.outside = np.cumsum(fresh) - 1, kind < 2
+        self.first, self.starts, self.stops = starts[fresh], starts, np.minimum(starts + run, end[starts])
+        self.pages, self.out = (self._counts(self.of[some], page[some]) for some in (slice(None), self.outside))
+
+    def _counts(self, of: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """Of each run, on how many pages; a run's pages are in order."""
+        other = (np.diff(of, prepend=-1) != 0) | (np.diff(page, prepend=-1) != 0)
+        return np.bincount(of[other], minlength=len(self.first))
+
+    def keys(self) -> np.ndarray:
+        """The runs' hashes, equal in all groups."""
+        import xxhash
+
+        hashes = np.array([0, 1, 2, *(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.words)], np.uint64)
+        keys = np.zeros(len(self.first), np.uint64)
+        end = self.end[self.first]
+        for k in range(self.run):
+            token = np.where(self.first + k < end, self.flat[np.minimum(self.first + k, self.n - 1)], 0)
+            keys = mix(keys + hashes[token] + np.uint64(k))
+        return keys
+
+    def covered(self, starts: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Which tokens lie in one of the runs that begin at ``starts`` (a mask), and how many of each block."""
+        on = np.bincount(self.starts[starts], minlength=self.n + 1) - np.bincount(self.stops[starts], minlength=self.n + 1)
+        on = np.cumsum(on)[: self.n] > 0
+        total = np.cumsum(on)
+        return on, (total[self.begin + self.sizes - 2] - total[self.begin]).tolist()
+
+
+def kept(pages: list[tuple[list[str], list[int]]], runs: Runs, size: int) -> list[str]:
     """The text of each page of a host of ``size`` pages."""
-    often, twice = iter(whole.covered(max(COMMON, -(-size // 2)))), iter(outside.covered(2))
+    gone, often = runs.covered((runs.pages >= max(COMMON, -(-size // 2)))[runs.of])
+    _, twice = runs.covered((runs.out >= 2)[runs.of] & runs.outside)
+    blocks = zip(often, twice, runs.begin.tolist(), runs.sizes.tolist(), strict=True)
     out = []
     for texts, kinds in pages:
         some = []
-        for t, kind in zip(texts, kinds, strict=True):
-            gone, again = next(often), next(twice) if kind < 2 else None
-            if kind == 2 or (kind == 1 and 2 * again.sum() < len(again)):
-                some.append(" ".join(w for w, g in zip(t.split(" "), gone, strict=True) if not g) if gone.any() else t)
+        for t, kind, (many, again, begin, n) in zip(texts, kinds, blocks):
+            if kind == 2 or (kind == 1 and 2 * again < n - 2):
+                some.append(" ".join(w for w, g in zip(t.split(" "), gone[begin + 1 : begin + n - 1].tolist(), strict=True) if not g) if many else t)
         out.append("\n\n".join(t for t in some if t))
     return out
 
@@ -225,7 +245,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"crowd": [crowd], "host": [host], "pages": some["pages"].iloc[:1].to_numpy(), "blob": [_pack(held)]})
 
     def named(runs: Runs, host: str) -> np.ndarray:
-        return mix(runs.keys ^ np.uint64(WordHash()[host.encode("utf-8", "surrogatepass")])).view(np.int64)
+        return mix(runs.keys() ^ np.uint64(WordHash()[host.encode("utf-8", "surrogatepass")])).view(np.int64)
 
     def result(found: dict, texts: list[str]) -> dict:
         return {"page_id": [p[0] for p in found.values()], "url": [p[1] for p in found.values()], "text": texts, "copies": [p[4] for p in found.values()]}
@@ -238,12 +258,12 @@ def extract(pages: DataFrame) -> DataFrame:
         """Of a host of one group the texts; else the pages as they are and the counts of the group's runs."""
         found, host, size = _unpack(pdf["blob"]), pdf["host"].iloc[0], pdf["pages"].iloc[0]
         read = [(p[2], p[3]) for p in found.values()]
-        whole, outside = crowd_runs(read)
+        runs = Runs(read)
         if pd.isna(size):
-            return frame(result(found, kept(read, whole, outside, len(read))))
-        n, out = (pd.Series(r.pages, named(r, host)) for r in (whole, outside))
-        n = n[(n > 1) | n.index.isin(out.index) | (len(read) <= FEW)]
-        rows = {"run": [None, *n.index.tolist()], "n": [None, *n.tolist()], "out": [None, *out.reindex(n.index, fill_value=0).tolist()]}
+            return frame(result(found, kept(read, runs, len(read))))
+        told = (runs.pages > 1) | (runs.out > 0) | (len(read) <= FEW)
+        n = runs.pages[told]
+        rows = {"run": [None, *named(runs, host)[told].tolist()], "n": [None, *n.tolist()], "out": [None, *runs.out[told].tolist()]}
         return frame(rows | {"crowd": [int(pdf["crowd"].iloc[0])] * (len(n) + 1), "host": [host] + [None] * len(n), "pages": [int(size)] + [None] * len(n), "blob": [_pack(found)] + [None] * len(n)})
 
     def finish(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
@@ -251,11 +271,12 @@ def extract(pages: DataFrame) -> DataFrame:
             return pd.DataFrame({"page_id": [], "url": [], "text": [], "copies": []})
         found, host = _unpack(pdf["blob"]), pdf["host"].iloc[0]
         read = [(p[2], p[3]) for p in found.values()]
-        whole, outside = crowd_runs(read)
-        for runs, column in ((whole, "n"), (outside, "out")):
-            total = pd.Series(shared[column].to_numpy(), shared["run"].to_numpy()).reindex(named(runs, host)).to_numpy(float)
-            runs.pages = np.where(np.isnan(total), runs.pages, total)
-        return pd.DataFrame(result(found, kept(read, whole, outside, int(pdf["pages"].iloc[0]))))
+        runs = Runs(read)
+        at = pd.Index(shared["run"].to_numpy(np.int64)).get_indexer(named(runs, host))
+        known = at >= 0
+        for counts, column in ((runs.pages, "n"), (runs.out, "out")):
+            counts[known] = shared[column].to_numpy(np.int64)[at[known]]
+        return pd.DataFrame(result(found, kept(read, runs, int(pdf["pages"].iloc[0]))))
 
     parsed = dealt.mapInPandas(parse, "crowd long, host string, pages long, blob binary")
     done = materialise(parsed.groupBy("crowd").applyInPandas(settle, "page_id string, url string, text string, copies long, crowd long, host string, pages long, blob binary, run long, n int, out int"), "crowds")

@@ -386,3 +386,29 @@ def test_new_tree_is_the_counted_one():
     for text in ("", "a", " b" * 32, " b" * 33, "Words, of 3 kinds;\n\n and ½ é " * 400, "x" * 100_000):
         doc = counting.Counted(text, words)
         assert counting.new_tree(text, words) == (doc.stored(), doc.tokens)
+
+
+def test_runs_by_brute_force(monkeypatch):
+    """A group's runs are sorted once, in articles and outside together, and each is counted on the right pages."""
+    r = random.Random(5)
+    table = [([" ".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(r.randint(0, 5))], []) for _ in range(40)]
+    table = [(texts, [r.randint(0, 2) for _ in texts]) for texts, _ in table]
+    on, out = {}, {}
+    for k, (texts, kinds) in enumerate(table):
+        for t, kind in zip(texts, kinds, strict=True):
+            block = ["<", *t.split(" "), ">"]
+            for at in range(max(1, len(block) - pages.RUN + 1)):
+                on.setdefault(tuple(block[at : at + pages.RUN]), set()).add(k)
+                if kind < 2:
+                    out.setdefault(tuple(block[at : at + pages.RUN]), set()).add(k)
+    sorts, sort = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **b: (sorts.append(len(a[0])), sort(*a, **b))[1])
+    runs = pages.Runs(table)
+    assert len(sorts) <= 1
+    assert sorted(zip(runs.pages.tolist(), runs.out.tolist(), strict=True)) == sorted((len(s), len(out.get(w, ()))) for w, s in on.items())
+    again = pages.Runs(table[::-1])
+    assert dict(zip(runs.keys().tolist(), runs.pages.tolist(), strict=True)) == dict(zip(again.keys().tolist(), again.pages.tolist(), strict=True))
+    many = [" ".join(f"w{r.randint(0, 9000)}" for _ in range(20_000)) + " a b c d e f"] * 2
+    runs = pages.Runs([([t], [2]) for t in many] + [(["a b c d e f"], [1]), ([], [])])
+    assert runs.pages.max() == 3 and runs.out.sum() == 3 and pages.kept([(["a b c d e f"], [2])] * 4, pages.Runs([(["a b c d e f"], [2])] * 4), 4) == [""] * 4
+    assert pages.kept([([], [])], pages.Runs([([], [])]), 1) == [""] and not len(pages.Runs([]).keys())
