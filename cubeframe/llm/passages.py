@@ -9,8 +9,10 @@ windows, and the parse gives the least document of each. A suffix array of the p
 suffixes beyond a phrase's end, and no window of ``match`` bytes reaches beyond its phrase.
 
 The texts move once, into a table bucketed by text digest; only triggers, shared phrases and removal marks move after
-that. Triggers that many documents share are salted: each salted group settles its own windows and hands on one
-document for each window. Texts of which there are very many copies are stored once.
+that. Files are few: many buckets share one, and triggers and marks are gathered first (on local paths without Hadoop's
+native library an executor starts two processes for each file that it creates). Triggers that many documents share are
+salted: each salted group settles its own windows and hands on one document for each window. Texts of which there are
+very many copies are stored once.
 
 Defined results: null counts as empty; texts shorter than ``match`` bytes lose nothing; of equal texts all but the
 least doc_id are removed whole; rows with equal doc_id do not match each other, whatever their texts; a null doc_id
@@ -34,6 +36,8 @@ from cubeframe.llm.common import materialise, mix, unused
 
 MATCH, TRIGGER = 50, 24
 BUCKET_BYTES = 2 << 20
+#: Bytes of text in a file of the stored table, on average; fewer where a core would have less than four files.
+FILE_BYTES = 24 << 20
 #: Documents of one trigger that one group settles.
 CROWD = 1500
 #: Of texts with more copies, at most COPIES and one for each COPIES in all, only the first is stored.
@@ -118,7 +122,7 @@ def _key() -> Column:
 
 
 def _store(documents: DataFrame) -> tuple[DataFrame, int]:
-    """The texts, once for each digest and task, in a table bucketed by ``src``; and the number of buckets."""
+    """The texts, once for each digest and task, in a table whose files each hold some buckets ``src``; and the number of buckets."""
     spark = documents.sparkSession
     digest = F.unhex(F.md5("text"))
     copies = documents.where("text IS NOT NULL").groupBy(digest.alias("same")).agg(F.count(F.lit(1)).alias("n"), F.min(_key()).alias("least"), F.max(F.octet_length("text")).alias("size"))
@@ -126,9 +130,10 @@ def _store(documents: DataFrame) -> tuple[DataFrame, int]:
     n, total = copies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     hot = copies.where(F.col("n") > max(COPIES, n // COPIES)).select("same", "least")  # at most COPIES rows
     parts = int(max(8, total / (BUCKET_BYTES * max(1.0, (total / (1 << 30)) ** (1 / 3)))))
+    files = min(parts, max(4 * spark.sparkContext.defaultParallelism, total // FILE_BYTES))
     most = "spark.sql.sources.bucketing.maxBuckets"
-    if parts > int(spark.conf.get(most, "100000")):
-        spark.conf.set(most, str(parts))
+    if files > int(spark.conf.get(most, "100000")):
+        spark.conf.set(most, str(files))
 
     def of(batches):
         import zstandard
@@ -148,7 +153,7 @@ def _store(documents: DataFrame) -> tuple[DataFrame, int]:
     rows = rows.join(F.broadcast(hot), digest == F.col("same"), "left").where("least IS NULL OR least = doc_id").select("doc_id", "text")
     rows = rows.mapInPandas(of, "src int, doc_id long, digest binary, z binary")
     name = f"passages_{uuid.uuid4().hex}"
-    rows.repartition(parts, "src").write.bucketBy(parts, "src").format("parquet").saveAsTable(name)
+    rows.repartition(files, "src").write.bucketBy(files, "src").format("parquet").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name), parts
 
@@ -308,7 +313,8 @@ def _marks(texts: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame(out, columns=["src", "blob"])
 
     sent = texts.groupBy("src").cogroup(shared.groupBy("src")).applyInPandas(send, "part int, src int, blob binary")
-    found = materialise(sent.groupBy("part").applyInPandas(settle, "src int, blob binary, open binary"), "marks")
+    found = sent.groupBy("part").applyInPandas(settle, "src int, blob binary, open binary")
+    found = materialise(found.hint("rebalance"), "marks")
     late = found.where("open IS NOT NULL").groupBy("src").applyInPandas(meet, "src int, blob binary")
     return found.where("blob IS NOT NULL").select("src", "blob").union(late)
 
@@ -349,13 +355,13 @@ def _cut(texts: DataFrame, marks: DataFrame) -> DataFrame:
 
 def _results(documents: DataFrame) -> DataFrame:
     texts, parts = _store(documents)
-    shared = materialise(_shared_triggers(texts, parts), "triggers")
+    shared = materialise(_shared_triggers(texts, parts).hint("rebalance"), "triggers")
     return _cut(texts, _marks(texts, shared, parts))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each document."""
-    found = materialise(_results(documents).drop("kept"), "cut")
+    found = _results(documents).drop("kept")
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.md5("text")).alias("digest"))
     out = rows.join(found, "digest", "left")
@@ -373,7 +379,7 @@ def remove_repeats(documents: DataFrame, count_column: str = "n_chars") -> DataF
     """The documents, all columns, ``text`` without repeated passages; torn characters at a cut go, too."""
     same, least, kept = (unused(documents, c) for c in ("same", "least", "kept"))
     found = _results(documents).select(F.col("digest").alias(same), F.col("least").alias(least), F.col("kept").alias(kept))
-    out = documents.withColumn(same, F.unhex(F.md5("text"))).join(materialise(found, "kept"), same, "left")
+    out = documents.withColumn(same, F.unhex(F.md5("text"))).join(found, same, "left")
     copy = (_key() > F.col(least)) & (F.octet_length("text") >= MATCH)
     out = out.withColumn("text", F.when(copy, F.lit("")).otherwise(F.coalesce(kept, "text")))
     if count_column in documents.columns:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -119,6 +120,19 @@ def test_passages(docs, rows, crowd, monkeypatch):
     assert passages.repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_write_few_files(spark, monkeypatch):
+    """Each file that an executor creates may start two processes: buckets share files, and marks are joined without being stored again."""
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 500)
+    docs = spark.createDataFrame([(k, f"{prose(40, k)} {prose(20, 1000 + k % 30)}") for k in range(150)], "doc_id long, text string")
+    folders = [Path(spark.conf.get(f"spark.{k}.dir").removeprefix("file:")) for k in ("sql.warehouse", "checkpoint")]
+    old = {p for d in folders for p in d.rglob("part-*")}
+    removed = [r["n_removed"] for r in passages.repeats(docs).orderBy("doc_id").collect()]
+    assert not any(removed[:30]) and all(removed[30:])
+    new = [p.parent.name.split("-")[0].split("_")[0] for d in folders for p in d.rglob("part-*") if p not in old]
+    assert set(new) == {"copies", "passages", "triggers", "marks"}
+    assert max(map(new.count, set(new))) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_passages_of_repeated_and_null_ids(spark, monkeypatch):
     """Texts that share an id do not share their marks, and do not match each other; a genuine U+FFFD stays."""
     monkeypatch.setattr(passages, "BUCKET_BYTES", 1 << 20)
