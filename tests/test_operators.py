@@ -93,3 +93,28 @@ def test_overlap_query_deals_one_side_only(spark, tmp_path):
     assert len(got) == len(whole) and {(r["a_id"], r["b_id"]) for r in got} == whole
     dealt = re.findall(r"Generate explode", out._jdf.queryExecution().optimizedPlan().toString())
     assert len(dealt) == 1  # one side only is dealt to several buckets
+
+
+def test_overlapping_shares_a_full_bucket_out(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from cubeframe.operators import joins
+
+    rows = [(i, 0 if i < 200 else i, 3 + i % 5 if i < 200 else i + 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, lo long, hi long")
+    whole = sorted((a, b) for a, alo, ahi in rows for b, blo, bhi in rows if a < b and alo < bhi and blo < ahi)
+    for most in (10, 4096):
+        got = joins.overlapping(df, 1, most).select("a_id", "b_id", F.spark_partition_id()).collect()
+        assert sorted(tuple(r)[:2] for r in got) == whole
+        if most == 10:  # nearly all pairs are in one bucket
+            assert max(Counter(r[2] for r in got).values()) < len(whole) / 2
+
+
+def test_overlapping_keeps_its_tasks(spark):
+    from cubeframe.operators import joins
+
+    df = spark.range(500).selectExpr("id", "id lo", "id + 3 hi")
+    out = joins.overlapping(df, 1)
+    assert out.count() == 499 + 498 and out.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
